@@ -44,8 +44,9 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     keyed = lambda d: d.withColumn("_k", F.struct(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\x00"))).alias("a"), F.xxhash64(F.lit(3), F.col(text)).alias("b"), F.xxhash64(F.col(text)).alias("c")))
-    hashes = keyed(docs.select(key, text)).select("_k", F.transform(lines_of(F.col(text)), lambda x: F.when(F.length(line_key(x)) >= max(1, min_chars), _pair(line_key(x)))).alias("_h"))
-    hashes = hashes.groupBy("_k").agg(F.first("_h").alias("_h"))
+    keys = F.transform(lines_of(F.col(text)), line_key)
+    hashes = keyed(docs.select(key, text)).select("_k", F.transform(keys, lambda x: F.when(F.length(x) >= max(1, min_chars), _pair(x))).alias("_h"))
+    hashes = cut(hashes.groupBy("_k").agg(F.first("_h").alias("_h")))  # read twice below
     lines = hashes.select("_k", F.posexplode("_h").alias("_at", "_hash")).where("_hash is not null")
     counted = hashes.select(F.explode(F.array_distinct("_h")).alias("_hash")).where("_hash is not null")
     frequent = cut(counted.groupBy("_hash").count().where(F.col("count") >= min_docs).select("_hash"))
