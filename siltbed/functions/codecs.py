@@ -153,7 +153,7 @@ def unpack(packed: DataFrame, key: Key, settings: list[tuple[str, str, str]] | N
     settings: the triples that occur (else they are looked up, which takes a pass over three small columns).
     """
     body = F.lit(None).cast("binary")
-    for compression, encryption, algorithm in settings or settings_of(packed):
+    for compression, encryption, algorithm in settings_of(packed) if settings is None else settings:
         here = (F.col("compression") == compression) & (F.col("encryption") == encryption) & (F.col("hmac") == algorithm)
         good = mac(F.col("data"), key.hmac_key, algorithm) == F.col("mac")
         bad = F.raise_error(F.lit("a packed slice does not fit its MAC")).cast("binary") if fail else F.lit(None).cast("binary")

@@ -46,7 +46,14 @@ def sparse_sizes(extents: DataFrame, by: str = "path") -> DataFrame:
     return extents.groupBy(by).agg((F.max("end") + 1).alias("total_length"), F.sum(F.col("end") - F.col("start") + 1).alias("total_size"))
 
 
+class ChunkNotFound(LookupError):
+    pass
+
+
 def fetch(locations: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """locations with the chunks' columns. An id without a chunk raises an error: left join, then a check a row."""
-    found = locations.join(chunks.withColumn("_there", F.lit(True)), key, "left")
-    return found.withColumn(key, F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no chunk "), F.hex(key))).cast("binary"))).drop("_there")
+    """locations with the chunks' columns. An id without a chunk raises ChunkNotFound at once: an anti join over the two
+    id columns, which reads no payload, comes first."""
+    lost = locations.select(key).join(chunks.select(key), key, "left_anti").limit(1).collect()
+    if lost:
+        raise ChunkNotFound(f"no chunk {bytes(lost[0][0]).hex()}")
+    return locations.join(chunks, key)

@@ -153,7 +153,7 @@ class Repository:
         """(chunk_id, body) of ids; an unknown id or a damaged chunk raises an error."""
         s = self.settings_in_use()
         found = restore.fetch(ids.select("chunk_id").distinct(), self.chunks)
-        return codecs.unpack(found, self.key, s).select("chunk_id", "body")
+        return (codecs.unpack(found, self.key, s) if s else found.withColumn("body", F.col("data"))).select("chunk_id", "body")
 
     def settings_in_use(self) -> list[tuple[str, str, str]]:
         return codecs.settings_of(self.chunks)
@@ -182,7 +182,7 @@ class Repository:
             if twice:
                 raise RepositoryError(f"{twice[0][0]!r} is stored twice")
             self.write_chunks(slices)
-            where = slices.select(F.lit(pointer).alias("archive"), F.array_join(F.array(*map(F.lit, [*ns, ""])), ":").alias("namespace"), key.alias("path"), "ordinal", "chunk_id", "start", "length")
+            where = slices.select(F.lit(pointer).alias("archive"), F.lit("".join(f"{n}:" for n in ns) or ":").alias("namespace"), key.alias("path"), "ordinal", "chunk_id", "start", "length")
             where.write.mode("append").parquet(f"{self.base}/object_chunks")
             tree = listing.nodes_from_paths(sized.select("path", F.octet_length("content").alias("length")))
             tree.select(F.lit(pointer).alias("archive"), "path", "node_type", "total_length", "total_size", "extents", "parent_path").write.mode("append").parquet(f"{self.base}/nodes")
@@ -231,7 +231,8 @@ class Repository:
         return self.nodes.where((F.col("archive") == self._pointer(archive)) & glob_filter(F.col("path"), include, exclude)).drop("archive")
 
     def extract(self, archive: int | str, include: Iterable[str] = (), exclude: Iterable[str] = (), namespace: Iterable[str] = ()) -> DataFrame:
-        """(path, content) of the files of a snapshot; lazy, so without an action it is a preview."""
+        """(path, content) of the files of a snapshot. That all chunks are there is checked at once, over ids only; payloads
+        are read by an action. `contents` with the same globs is the preview."""
         pointer, ns = self._pointer(archive), "".join(f"{n}:" for n in namespace) or ":"
         files = self.contents(archive, include, exclude).where("node_type = 'File'").select("path", "total_length")
         where = self.object_chunks.where((F.col("archive") == pointer) & (F.col("namespace") == ns)).withColumn("path", F.expr(f"substring(path, {len(ns) + 1})"))

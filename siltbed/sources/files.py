@@ -13,16 +13,30 @@ from pyspark.sql import functions as F
 from siltbed.operators.listing import extents_of
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, empty: bool = True) -> DataFrame:
     """(path relative to root, length, content, extents) of all regular files below root. Unread columns cost nothing:
-    without `content` the scan lists only. Files that vanish during the scan are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
+    without `content` the scan lists only. Files that vanish during the scan are left out.
+
+    Spark's file scan passes over empty files, so the driver lists those; `empty` False saves that listing."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root).select("path", "length", "content")
+    if empty:
+        raw = raw.union(spark.createDataFrame([(p, 0, b"") for p in _empty_files(spark, root)], raw.schema))
     base = urlparse(root).path if "://" in root else os.path.abspath(root)
     path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
     start = F.locate(base.rstrip("/") + "/", path) + len(base.rstrip("/")) + 1
     return raw.select(F.substr(path, start).alias("path"), "length", "content", extents_of(F.col("length")).alias("extents"))
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith((".", "_")):
+            out.append(f.getPath().toUri().toString())
+    return out
+
+
 def scan_directories(spark: SparkSession, root: str) -> DataFrame:
     """Paths of all directories below a local root, also of empty ones, which a file scan does not show."""
     top = unquote(urlparse(root).path) if "://" in root else os.path.abspath(root)
