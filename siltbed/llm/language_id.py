@@ -36,7 +36,8 @@ def training_sample(docs: DataFrame, key: str = "doc_id", per_salt: int = PER_SA
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(key, "lang", h.alias("_h"))
     w = Window.partitionBy("lang", F.pmod("_h", F.lit(SALTS))).orderBy("_h", key)
     chosen = ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_salt).select(key).distinct()
-    return docs.join(F.broadcast(chosen), key).select("lang", "text")
+    found = docs.where("lang is not null and text is not null").join(F.broadcast(chosen), key)
+    return found.groupBy(key, "lang").agg(F.min("text").alias("text")).select("lang", "text")  # a repeated key counts once
 
 
 class PPM:
@@ -45,6 +46,8 @@ class PPM:
     def __init__(self, samples: dict[str, list[bytes]], order: int = 3, min_count: int = 2):
         """Contexts seen fewer than min_count times over all languages are not stored."""
         self.languages = sorted(samples)
+        if not samples:
+            return
         seen = np.zeros(256, bool)
         for texts in samples.values():
             for t in texts:
@@ -90,9 +93,9 @@ class PPM:
         return self.tables.score(texts)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        bits = self.code_lengths([(t or "").encode("utf-8", "replace") for t in texts])
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        bits = self.code_lengths([(t or "").encode("utf-8", "replace") for t in texts])
         best = bits.argmin(1)
         score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
         lettered = [t is not None and LETTER.search(t) is not None for t in texts]

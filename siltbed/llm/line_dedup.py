@@ -42,28 +42,31 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     Shuffles: hashes of lines (20 bytes a line) by hash and by document, and the documents once. A frequent line is
     pre-aggregated before its shuffle; in the join its rows lie on the side that adaptive execution splits.
     """
-    n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
-    keyed = lambda d: d.withColumn("_k", F.struct(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\x00"))).alias("a"), F.xxhash64(F.lit(3), F.col(text)).alias("b"), F.xxhash64(F.col(text)).alias("c")))
+    n_lines, n_dropped, k = free_name(docs, "n_lines"), free_name(docs, "n_dropped"), free_name(docs, "_k")
+    keyed = lambda d: d.withColumn(k, F.struct(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\x00"))).alias("a"), F.xxhash64(F.lit(3), F.col(text)).alias("b"), F.xxhash64(F.col(text)).alias("c")))
     keys = F.transform(lines_of(F.col(text)), line_key)
-    hashes = keyed(docs.select(key, text)).select("_k", F.transform(keys, lambda x: F.when(F.length(x) >= max(1, min_chars), _pair(x))).alias("_h"))
+    hashes = keyed(docs.select(key, text)).select(F.col(k).alias("_k"), F.transform(keys, lambda x: F.when(F.length(x) >= max(1, min_chars), _pair(x))).alias("_h"))
     hashes = cut(hashes.groupBy("_k").agg(F.first("_h").alias("_h")))  # read twice below
     lines = hashes.select("_k", F.posexplode("_h").alias("_at", "_hash")).where("_hash is not null")
     counted = hashes.select(F.explode(F.array_distinct("_h")).alias("_hash")).where("_hash is not null")
     frequent = cut(counted.groupBy("_hash").count().where(F.col("count") >= min_docs).select("_hash"))
     dropped = lines.join(frequent, "_hash", "left_semi").groupBy("_k").agg(F.array_sort(F.collect_list("_at")).alias("_gone"))
-    return _reassemble(keyed(docs).join(dropped, "_k", "left"), text, n_lines, n_dropped).select(*docs.columns, n_lines, n_dropped)
+    gone = free_name(docs, "_gone")
+    joined = keyed(docs).join(dropped.toDF(k, gone), k, "left")
+    return _reassemble(joined, text, n_lines, n_dropped, gone).select(*docs.columns, n_lines, n_dropped)
 
 
-def _reassemble(df: DataFrame, text: str, n_lines: str, n_dropped: str) -> DataFrame:
-    """Lines at the positions _gone, sorted, are left out. The runs between them are cut out with slice(), so that the
+def _reassemble(df: DataFrame, text: str, n_lines: str, n_dropped: str, gone: str) -> DataFrame:
+    """Lines at the positions `gone`, sorted, are left out. The runs between them are cut out with slice(), so that the
     work is one copy of the lines, however many go."""
-    lines = F.col("_lines")
-    df = df.withColumn("_lines", lines_of(F.col(text))).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    starts = F.concat(F.array(F.lit(-1)), F.col("_gone"))
-    ends = F.concat(F.col("_gone"), F.array(F.size(lines)))
+    name = free_name(df, "_lines")
+    lines = F.col(name)
+    df = df.withColumn(name, lines_of(F.col(text))).withColumn(gone, F.coalesce(gone, F.array().cast("array<int>")))
+    starts = F.concat(F.array(F.lit(-1)), F.col(gone))
+    ends = F.concat(F.col(gone), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
     return df.withColumns({
         n_lines: F.size(lines).cast("long"),
-        n_dropped: F.size("_gone").cast("long"),
-        text: F.when(F.size("_gone") == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
+        n_dropped: F.size(gone).cast("long"),
+        text: F.when(F.size(gone) == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
     })

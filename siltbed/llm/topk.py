@@ -57,7 +57,7 @@ class Search:
         if np.abs(x).max(initial=0) * np.abs(queries).max(initial=0) * max(width, 1) >= 2**53:
             whole = np.vectorize(int, otypes=[object])  # beyond what doubles hold exactly
             x, queries = whole(x), whole(queries)
-        hi, lo = x.max(0, initial=None) if width else x.sum(0), x.min(0, initial=None) if width else x.sum(0)
+        hi, lo = x.max(0), x.min(0)
         columns = np.ascontiguousarray(x.T)
         for i, q in enumerate(queries):
             self._one(i, q, np.maximum(q * hi, q * lo), rows, columns)
@@ -101,9 +101,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 6
     clean = lambda d: d.where(F.col(key).isNotNull() & valid(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows, parts = clean(vectors), []
     for ids, block in _blocks(clean(queries), scale):
-        parts.append(_pass(rows, ids, block, k, scale))
-        if len(parts) > 1:
-            parts = [cut(p) for p in parts[-2:]] if len(parts) == 2 else [*parts[:-1], cut(parts[-1])]
+        if len(parts) == 1:
+            parts = [cut(parts[0])]
+        parts.append(_pass(rows, ids, block, k, scale) if not parts else cut(_pass(rows, ids, block, k, scale)))
     if not parts:
         parts = [_pass(rows.limit(0), np.zeros(0, np.int64), np.zeros((0, 0)), k, scale)]
     out = parts[0]

@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     least = lambda y, n: marked.where(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(n)
     chosen = least(0, ORDINARY_DOCS).union(least(1, TOXIC_DOCS))
-    rows = docs.where("text is not null").select(key, "text").join(F.broadcast(chosen), key).select("toxic", "text").toLocalIterator()
+    found = docs.where("text is not null").select(key, "text").join(F.broadcast(chosen), key)
+    rows = found.groupBy(key, "toxic").agg(F.min("text").alias("text")).select("toxic", "text").toLocalIterator()  # a repeated key counts once
     texts: tuple[list[bytes], list[bytes]] = ([], [])
     for y, text in rows:
         texts[y].append(text.encode("utf-8", "replace"))
