@@ -31,14 +31,17 @@ def numeric_names(files: DataFrame, name: str = "name") -> DataFrame:
     return files.where(F.col(name).rlike("^[0-9]+$"))
 
 
-def pack_segments(chunks: DataFrame, limit: int, order: str, size: str = "length", per_group: int = 1 << 16) -> DataFrame:
+def pack_segments(chunks: DataFrame, limit: int, order: str, size: str = "length") -> DataFrame:
     """chunks with segment_id (bytes before the chunk, over the limit) and slot (its place in the segment).
 
-    Running sums over the whole input go in two levels: range partitions are summed by themselves, and their totals, one
-    row each, give the offsets. No task gets all rows. `order` must be unique.
+    Running sums over the whole input go in two levels: rows are dealt by approximate quantiles of `order` (a unique
+    number), each part is summed by itself, and the parts' totals, one row each, give the offsets. No task gets all rows,
+    and a row's part is a function of its value, so tasks that run again agree.
     """
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = chunks.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
+    bounds = sorted(set(chunks.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(order))) if bounds else F.lit(0)
+    dealt = chunks.withColumn("_p", part)
     within = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("_b", F.coalesce(F.sum(size).over(within), F.lit(0)))
     totals = dealt.groupBy("_p").agg(F.sum(size).alias("_t"))

@@ -26,6 +26,16 @@ def nodes_from_paths(objects: DataFrame, path: str = "path", size: str = "length
     return files.unionByName(dirs).withColumn("parent_path", parent(F.col("path")))
 
 
+def nodes_of_extents(rows: DataFrame) -> DataFrame:
+    """As nodes_from_paths, for rows (path, start, length), of which a path may have many: total_length is with holes,
+    total_size without, and extents are in order, the empty ones left out."""
+    full = F.when(F.col("length") > 0, F.struct("start", (F.col("start") + F.col("length") - 1).alias("end")))
+    one = rows.groupBy("path").agg(F.max(F.col("start") + F.col("length")).alias("total_length"), F.sum("length").alias("total_size"), F.sort_array(F.collect_list(full)).alias("extents"))
+    nodes = nodes_from_paths(one.select("path", F.col("total_length").alias("length"))).where("node_type = 'Directory'")
+    files = one.select("path", F.lit("File").alias("node_type"), "total_length", "total_size", F.when(F.size("extents") > 0, F.col("extents")).alias("extents"), parent(F.col("path")).alias("parent_path"))
+    return nodes.unionByName(files)
+
+
 def bfs(nodes: DataFrame) -> DataFrame:
     """(path, depth) of all nodes reachable from the roots (empty parent), in levels; each path once, at its least depth.
     A node whose parent is missing or is not a directory is not reached."""

@@ -60,9 +60,17 @@ def newest_first(archives: DataFrame, ts: str = "ts", tie: str = "tag", by: list
 
 
 def select_archive(archives: DataFrame, wanted: int | str, name: str = "name", ts: str = "ts", tie: str = "tag") -> DataFrame:
-    """The first archive, newest first, whose position or name is wanted; no row if there is none."""
-    test = F.col("position").cast("string") == str(wanted)
-    return newest_first(archives, ts, tie).where(test | (F.col(name) == str(wanted))).orderBy("position").limit(1)
+    """The first archive, newest first, whose position or name is wanted; no row if there is none. Both searches are
+    top-k scans, so the log is never sorted as a whole."""
+    newest = [F.col(ts).desc(), F.col(tie).desc()]
+    found = archives.where(F.col(name) == str(wanted)).orderBy(*newest).limit(1)
+    if str(wanted).isdigit():
+        k = int(wanted) + 1
+        top = archives.orderBy(*newest).limit(k)
+        enough = top.agg(F.count("*").alias("_n")).where(F.col("_n") == k)
+        at = top.orderBy(F.col(ts), F.col(tie)).limit(1).join(F.broadcast(enough), F.lit(True)).drop("_n")
+        found = found.unionByName(at).orderBy(*newest).limit(1)
+    return found
 
 
 def last_modification(tx: DataFrame, ts: str = "ts") -> DataFrame:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def zeros(n: Column) -> Column:
-    return F.unhex(F.repeat(F.lit("00"), n.cast("int")))
-
-
 def gaps(locations: DataFrame, by: str = "path") -> DataFrame:
     """locations (start, length) with `gap`: the bytes between the end of the slice before, or 0, and its start."""
     w = Window.partitionBy(by).orderBy("start")
@@ -20,12 +16,15 @@ def gaps(locations: DataFrame, by: str = "path") -> DataFrame:
 def reassemble(slices: DataFrame, by: str = "path") -> DataFrame:
     """(by, content) from (by, start, length, body), holes filled with zeros, bytes in the order of start.
 
-    One object is one value: its slices meet in one task. Overlapping slices raise an error. Equal (start, body) rows
-    count once. Concatenation is one call over the sorted bodies, not a fold.
+    One object is one value: its slices meet in one task, in a single shuffle. Overlapping slices raise an error. Equal
+    (start, body) rows count once. Concatenation is one call over the sorted bodies, not a fold.
     """
-    filled = gaps(slices.select(by, "start", "length", "body").distinct(), by)
-    checked = F.when(F.col("gap") < 0, F.raise_error(F.lit("slices overlap")).cast("string")).otherwise(F.concat(F.repeat(F.lit("00"), F.col("gap").cast("int")), F.hex("body")))
-    parts = filled.select(by, "start", checked.alias("h"))
+    w = Window.partitionBy(by).orderBy("start", "length")
+    before = slices.select(by, "start", "length", "body", F.lag(F.struct("start", "length", "body")).over(w).alias("_p"))
+    again = (F.col("_p.start") == F.col("start")) & (F.col("_p.body") == F.col("body"))
+    gap = F.col("start") - F.coalesce(F.col("_p.start") + F.col("_p.length"), F.lit(0))
+    hexes = F.when(gap < 0, F.raise_error(F.lit("slices overlap")).cast("string")).otherwise(F.concat(F.repeat(F.lit("00"), gap.cast("int")), F.hex("body")))
+    parts = before.where(~F.coalesce(again, F.lit(False))).select(by, "start", hexes.alias("h"))
     return parts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("start", "h"))).alias("p")).select(by, F.unhex(F.array_join("p.h", "")).alias("content"))
 
 

@@ -15,10 +15,11 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltbed import IMPLEMENTATION_UUID, __version__
 from siltbed.functions import codecs
 from siltbed.functions.hashing import content_id
 from siltbed.functions.keys import Key
-from siltbed.functions.paths import glob_filter, object_key
+from siltbed.functions.paths import glob_filter, object_key, trimmed
 from siltbed.operators import dedup, listing, manifest, restore
 from siltbed.operators.chunkers import FastCDC, chunk
 
@@ -93,6 +94,7 @@ class Repository:
         settings, key = settings or Settings(), Key.random()
         base = base.rstrip("/")
         cls._put(spark, f"{base}/settings.json", json.dumps(asdict(settings)))
+        cls._put(spark, f"{base}/version.json", json.dumps({"version": __version__, "implementation": IMPLEMENTATION_UUID}))
         cls._put(spark, f"{base}/key.json", json.dumps(key.wrap(password)))
         return cls(spark, base, key, settings)
 
@@ -168,23 +170,29 @@ class Repository:
 
     def store(self, objects: DataFrame, name: str, chunker=None, namespace: Iterable[str] = (), tz_offset_sec: int = 0) -> str:
         """Stores (path, content) rows as a snapshot and returns its pointer. Null content counts as empty; paths are
-        trimmed; a row of a path that is stored twice makes its object ambiguous and is an error."""
+        trimmed; a path that is stored twice makes its object ambiguous and is an error.
+
+        Sparse objects: with a column `start` (long), each row is an extent of its path that begins there; holes between
+        extents are not stored and come back as zeros. Extents of a path must not overlap or begin at the same place."""
         pointer, ns = uuid.uuid4().hex, list(namespace)
         key = object_key(F.array(*map(F.lit, ns)).cast("array<string>"), F.col("path"))
         self._lock()
         try:
             staged = f"{self.base}/staging/{pointer}"
-            sized = objects.select("path", F.coalesce(F.col("content"), F.lit(b"")).alias("content"))
-            slices = chunk(sized, chunker or FastCDC()).withColumn("chunk_id", content_id(F.col("body"), self.key.id_key, self.settings.hmac))
+            origin = F.coalesce(F.col("start"), F.lit(0)) if "start" in objects.columns else F.lit(0)
+            sized = objects.select("path", origin.cast("long").alias("origin"), F.coalesce(F.col("content"), F.lit(b"")).alias("content"))
+            slices = chunk(sized, chunker or FastCDC()).withColumn("start", F.col("start") + F.col("origin"))
+            slices = slices.withColumn("chunk_id", content_id(F.col("body"), self.key.id_key, self.settings.hmac))
             slices.write.parquet(staged)  # hashed once; read for the dedup, for the bodies and for the locations
             slices = self.spark.read.parquet(staged)
-            twice = sized.groupBy(F.trim("path").alias("path")).count().where("count > 1").limit(1).collect()
+            twice = sized.groupBy(trimmed(F.col("path")).alias("path"), "origin").count().where("count > 1").limit(1).collect()
             if twice:
                 raise RepositoryError(f"{twice[0][0]!r} is stored twice")
             self.write_chunks(slices)
             where = slices.select(F.lit(pointer).alias("archive"), F.lit("".join(f"{n}:" for n in ns) or ":").alias("namespace"), key.alias("path"), "ordinal", "chunk_id", "start", "length")
             where.write.mode("append").parquet(f"{self.base}/object_chunks")
-            tree = listing.nodes_from_paths(sized.select("path", F.octet_length("content").alias("length")))
+            size = F.octet_length("content").cast("long")
+            tree = listing.nodes_of_extents(sized.select("path", F.col("origin").alias("start"), size.alias("length")))
             tree.select(F.lit(pointer).alias("archive"), "path", "node_type", "total_length", "total_size", "extents", "parent_path").write.mode("append").parquet(f"{self.base}/nodes")
             self._commit(pointer, name, tz_offset_sec)
             fs, p = self._fs(self.spark, staged)
@@ -236,10 +244,20 @@ class Repository:
         pointer, ns = self._pointer(archive), "".join(f"{n}:" for n in namespace) or ":"
         files = self.contents(archive, include, exclude).where("node_type = 'File'").select("path", "total_length")
         where = self.object_chunks.where((F.col("archive") == pointer) & (F.col("namespace") == ns)).withColumn("path", F.expr(f"substring(path, {len(ns) + 1})"))
-        wanted = where.join(files.select(F.trim("path").alias("path")), "path", "left_semi")
+        wanted = where.join(files.select(trimmed(F.col("path")).alias("path")), "path", "left_semi")
         parts = codecs.unpack(restore.fetch(wanted.select("path", "start", "length", "chunk_id"), self.chunks), self.key, self.settings_in_use())
         whole = restore.reassemble(parts)
-        return files.join(whole.withColumnRenamed("path", "_p"), F.trim(files.path) == F.col("_p"), "left").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
+        return files.join(whole.withColumnRenamed("path", "_p"), trimmed(files.path) == F.col("_p"), "left").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
+
+    def read_ranges(self, archive: int | str, extents: DataFrame, namespace: Iterable[str] = ()) -> DataFrame:
+        """(path, extent_no, start, length, body): the stored bytes inside (path, extent_no, start, end) extents, ends
+        inclusive. Only slices that meet an extent are fetched and unpacked."""
+        pointer, ns = self._pointer(archive), "".join(f"{n}:" for n in namespace) or ":"
+        where = self.object_chunks.where((F.col("archive") == pointer) & (F.col("namespace") == ns)).withColumn("path", F.expr(f"substring(path, {len(ns) + 1})"))
+        e = extents.select("path", F.col("start").alias("_a"), F.col("end").alias("_b"))
+        near = where.join(e, "path").where((F.col("start") <= F.col("_b")) & (F.col("start") + F.col("length") > F.col("_a")))
+        parts = restore.fetch(near.select("path", "start", "length", "chunk_id").distinct(), self.chunks)
+        return restore.range_fetch(codecs.unpack(parts, self.key, self.settings_in_use()), extents)
 
     def scrub(self) -> DataFrame:
         """chunk_id of each stored chunk that is damaged: its MAC does not fit, or its plain body has another id."""

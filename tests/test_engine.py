@@ -150,3 +150,35 @@ def test_first_seen(spark, tmp_path):
     q = first_seen(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.chunk_id for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def test_sparse_snapshots(spark, tmp_path):
+    repo = Repository.create(spark, str(tmp_path / "repo"), "pw", Settings("none", 0, "chacha20"))
+    rows = [("d/s", 3, b"abc"), ("d/s", 10, b"0123456789" * 9), (" e ", 0, b""), ("f", 0, None)]
+    repo.store(spark.createDataFrame(rows, "path string, start long, content binary"), "x", StaticSize(4))
+    want = b"\0\0\0abc\0\0\0\0" + b"0123456789" * 9
+    assert {r.path: bytes(r.content) for r in repo.extract("x").collect()} == {"d/s": want, " e ": b"", "f": b""}
+    node = repo.contents("x", ["d/s"]).first()
+    assert (node.total_length, node.total_size, [tuple(e) for e in node.extents]) == (100, 93, [(3, 5), (10, 99)])
+    asked = spark.createDataFrame([("d/s", 0, 4, 12), ("d/s", 1, 98, 200), ("f", 2, 0, 5)], "path string, extent_no int, start long, end long")
+    got = {}
+    for r in sorted(repo.read_ranges(0, asked).collect(), key=lambda r: (r.extent_no, r.start)):
+        got.setdefault(r.extent_no, []).append((r.start, bytes(r.body)))
+    assert got == {0: [(4, b"bc"), (10, b"012")], 1: [(98, b"89")]}
+
+
+def test_command_line(spark, tmp_path, tree, capsys):
+    from siltbed.__main__ import main
+
+    repo, out = str(tmp_path / "repo"), tmp_path / "out"
+    assert main(["--password", "p", "new", repo, "--compression", "lz4"]) == 0
+    main(["--password", "p", "store", repo, str(tree), "one"])
+    main(["--password", "p", "list", repo])
+    main(["--password", "p", "extract", repo, "0", str(out), "--include", "B/*", "--preview"])
+    assert main(["--password", "p", "verify", repo]) == 0 and main(["--password", "p", "scrub", repo]) == 0
+    shown = capsys.readouterr().out
+    assert "1 archives" in shown and "\tone\t" in shown and "B/C/6+x y" in shown and not out.exists()
+    main(["--password", "p", "extract", repo, "one", str(out), "--exclude", "A*"])
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == ["1", "B/5", "B/C/6+x y", "ü.txt"]
+    main(["bench-crypto", "--rounds", "1"])
+    assert capsys.readouterr().out.count("MiB/s") == 6
