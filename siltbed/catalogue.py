@@ -18,6 +18,9 @@ from siltbed.functions import codecs, hashing, paths
 from siltbed.functions.keys import Key
 from siltbed.operators import dedup, index, listing, manifest, restore
 from siltbed.operators.chunkers import BuzHash, FastCDC, StaticSize, chunk
+from siltbed.plans.repository import Repository, Settings
+from siltbed.plans.shared import shared_path
+from siltbed.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -505,3 +508,32 @@ def contents_query(spark, d):
 def list_query(spark, d):
     a = manifest.newest_first(_archives(spark, d), by=["repo"])
     return a.groupBy("repo").agg(F.count("*").alias("n_archives"), F.max("ts").alias("last_modification"), F.min_by("tag", "position").alias("newest"))
+
+
+@query(f"WITH {O} SELECT path, sha256(b) AS content_hash FROM o")
+def repository_roundtrip(spark, d):
+    """All objects through a repository: create, store, open again, extract."""
+    base = shared_path(spark, "repository")
+    Repository.create(spark, base, "password").store(objects(spark, d), "all", FastCDC(256, 1024, 4096))
+    return Repository.open(spark, base, "password").extract("all").select("path", F.sha2("content", 256).alias("content_hash"))
+
+
+@query(f"WITH {O}, k AS (SELECT path, octet_length(b) AS n FROM o WHERE path GLOB 'src1*' AND NOT path GLOB '*/de/*') SELECT path, n AS total_length FROM k")
+def repository_contents(spark, d):
+    """Two snapshots that share their slices; the older one is chosen by position and filtered by globs."""
+    base = shared_path(spark, "repository")
+    repo = Repository.create(spark, base, "password", Settings.lightweight())
+    repo.store(objects(spark, d), "first", SLICE)
+    repo.store(objects(spark, d).limit(10), "second", SLICE)
+    return repo.contents(1, ["src1*"], ["*/de/*"]).where("node_type = 'File'").select("path", "total_length")
+
+
+@query(f"WITH {S}, u AS (SELECT chunk_id, any_value(length) AS length FROM s GROUP BY chunk_id) SELECT count(*) AS n_chunks, CAST(sum(length) AS BIGINT) AS bytes FROM u")
+def streaming_ingest(spark, d):
+    """Objects that arrive as a stream leave each distinct slice once."""
+    base = shared_path(spark, "repository")
+    repo = Repository.create(spark, base, "password", Settings("none", 0, "none"))
+    stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")  # a glob, so that one file will do
+    stream = stream.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    ingest(stream, repo, f"{base}/stream", SLICE).awaitTermination()
+    return repo.chunks.agg(F.count("*").alias("n_chunks"), F.sum(F.octet_length("data").cast("long")).alias("bytes"))
