@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import free_name
+from siltbed.llm.common import free_name, sliced
 
 #: Characters of a text leaf and bytes of a leaf of one long match.
 TEXT_LEAF, PIECE_LEAF = 1 << 12, 256
@@ -139,13 +139,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                got = [codec.encode(t or "") for t in part.column(at).to_pylist()]
-                flat = np.concatenate([np.array(g, np.int32) for g in got])
-                offsets = np.cumsum([0] + [len(g) for g in got]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], [*part.schema.names, name])
+        for part in sliced(batches):
+            got = [codec.encode(t or "") for t in part.column(at).to_pylist()]
+            flat = np.concatenate([np.array(g, np.int32) for g in got])
+            offsets = np.cumsum([0] + [len(g) for g in got]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], [*part.schema.names, name])
 
     return docs.mapInArrow(run, docs.select("*", F.array(F.lit(0)).alias(name)).schema)
 
@@ -157,12 +155,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                col = part.column(at)
-                got = [codec.decode(x.values.to_pylist()) if x.is_valid else b"" for x in col]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*part.schema.names, name])
+        for part in sliced(batches):
+            got = [codec.decode(x.values.to_pylist()) if x.is_valid else b"" for x in part.column(at)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*part.schema.names, name])
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit(b"").alias(name)).schema)
 
@@ -178,7 +173,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             n, a, b = [], [], []
             for t in batch.column(1):
                 ids = codec.encode(t.as_py() or "")

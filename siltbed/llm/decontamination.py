@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import free_name
+from siltbed.llm.common import free_name, sliced
 
 #: UTF-8 bytes of benchmark texts that are searched for in one pass, and so the bound of what is broadcast. A larger
-#: benchmark takes one more pass over the documents for each such block.
-BLOCK_BYTES = 8 << 20
+#: benchmark takes one more pass over the documents for each such block. A megabyte makes some 170,000 windows.
+BLOCK_BYTES = 1 << 20
 
 #: A-Z are lower-cased, other ASCII than letters and digits parts words, all else belongs to words.
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -123,7 +123,7 @@ def _pass(df: DataFrame, shared, text: str, names: dict[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(batch.columns)
             n, spans, items = [], [], []
             before = zip(columns[at[names["hit_spans"]]], columns[at[names["items"]]], strict=True)

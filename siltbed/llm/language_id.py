@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm._grams import Tables, grams, suffix_index
-from siltbed.llm.common import free_name
+from siltbed.llm.common import free_name, sliced
 
 UNDETERMINED = "und"
 #: Documents per language that a model is fitted on at most: SALTS x PER_SALT, those with the least hashes.
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             langs, scores = ppm.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
 

@@ -32,22 +32,27 @@ def features(text: Column) -> dict[str, Column]:
     """Shares and means of a whole text; of an empty one all are zero. JVM-side only."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    words = F.filter(F.split(F.translate(F.lower(t), "\t\n\r", "   "), " ", -1), lambda w: w != "")
+    # one pass maps each class of characters to one of them; single characters are then counted by replacement
+    classes = {"A": "BCDEFGHIJKLMNOPQRSTUVWXYZ", "0": "123456789", ".": ",;:?", "%": "*$&#|@!{}<>^~=_\\", " ": "\t\n\r"}
+    marked = F.translate(t, "".join(classes.values()), "".join(c * len(chars) for c, chars in classes.items()))
+    count = lambda c: F.length(marked) - F.length(F.replace(marked, F.lit(c), F.lit("")))
+    words = F.array_remove(F.split(F.lower(F.replace(F.replace(F.replace(t, F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))), " ", -1), "")
     lines = F.split(t, "\n", -1)
-    gone = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
     return {
-        "f_word": (F.length(t) - gone(" \t\n\r")) / F.greatest(F.size(words), F.lit(1)),
-        "f_symbol": gone("%*$&#|@!{}<>^~=_\\") / n,
+        "f_word": (F.length(t) - count(" ")) / F.greatest(F.size(words), F.lit(1)),
+        "f_symbol": count("%") / n,
         "f_unique": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)),
-        "f_upper": gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n,
-        "f_digit": gone("0123456789") / n,
-        "f_stop": gone(".,;:?") / n,
+        "f_upper": count("A") / n,
+        "f_digit": count("0") / n,
+        "f_stop": count(".") / n,
         "f_line": F.size(F.array_distinct(lines)) / F.size(lines),
     }
 
 
 def bin_of(name: str, value: Column) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, BINS[name])), lambda end: value > end))
+    """A sum of comparisons: in a lambda function the value would be computed anew for each end."""
+    parts = [(value > end).cast("int") for end in BINS[name]]
+    return sum(parts[1:], parts[0])
 
 
 def featured(docs: DataFrame, key: str = "doc_id", host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:

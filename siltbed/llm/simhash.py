@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import cut, free_name
+from siltbed.llm.common import cut, free_name, sliced
 
 BLOCKS, PIVOTS = 8, 24
 #: Reference fingerprints: zero, whose distance is the number of ones, and fixed random words.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
     """(key, _fp long) of each row: one narrow pass over whole texts. A null or wordless text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["k", "_fp"])
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm._grams import BLOCK, Tables, grams, suffix_index
-from siltbed.llm.common import free_name
+from siltbed.llm.common import free_name, sliced
 
 #: Labelled documents that a model is fitted on at most: of each class, those with the least hashes of their ids.
 TOXIC_DOCS, ORDINARY_DOCS = 3000, 6000
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             s = shared.value.score([(t or "").encode("utf-8", "replace") for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, name, pred])
 
