@@ -30,6 +30,12 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _once(ordered: Column) -> Column:
+    """Distinct entries of a sorted array, in one pass; array_distinct() compares all pairs of structs."""
+    before = F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")), F.slice(ordered, F.lit(1), F.size(ordered) - 1))
+    return F.array_compact(F.zip_with(ordered, before, lambda x, y: F.when(~x.eqNullSafe(y), x)))
+
+
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, with `text` reduced to the lines that stay (joined by \\n), plus `n_lines` and `n_dropped` (long).
 
@@ -48,7 +54,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     hashes = keyed(docs.select(key, text)).select(F.col(k).alias("_k"), F.transform(keys, lambda x: F.when(F.length(x) >= max(1, min_chars), _pair(x))).alias("_h"))
     hashes = cut(hashes.groupBy("_k").agg(F.first("_h").alias("_h")))  # read twice below
     lines = hashes.select("_k", F.posexplode("_h").alias("_at", "_hash")).where("_hash is not null")
-    counted = hashes.select(F.explode(F.array_distinct("_h")).alias("_hash")).where("_hash is not null")
+    counted = hashes.select(F.explode(_once(F.sort_array("_h"))).alias("_hash")).where("_hash is not null")
     frequent = cut(counted.groupBy("_hash").count().where(F.col("count") >= min_docs).select("_hash"))
     dropped = lines.join(frequent, "_hash", "left_semi").groupBy("_k").agg(F.array_sort(F.collect_list("_at")).alias("_gone"))
     gone = free_name(docs, "_gone")
