@@ -6,12 +6,14 @@ possible context to the number of the longest stored suffix; `values[number, sym
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 
 #: Bytes scored at a time; bounds the temporary arrays of a worker to about 40 times this.
 BLOCK = 1 << 20
+#: Bytes counted at a time.
+COUNTED = 1 << 22
 
 
 class Tables:
@@ -63,14 +65,48 @@ class Tables:
         return out
 
 
-def grams(texts: Sequence[bytes], symbols: np.ndarray, size: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, counts) of the runs of 1 .. order+1 symbols; the last symbol of a key is the predicted one."""
-    pad = b" " * order
-    s = symbols[np.frombuffer(pad + pad.join(texts) + pad, np.uint8)].astype(np.int64)
-    out, key = [], np.zeros(len(s), np.int64)
-    for k in range(order + 1):
-        key = key[: len(s) - k] * size + s[k:]
-        out.append(np.unique(key, return_counts=True))
+def grams(texts: Iterable[bytes], symbols: np.ndarray, size: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of the runs of 1 .. order+1 symbols; the last symbol of a key is the predicted one.
+
+    Texts are parted by runs of spaces. They are counted a block at a time, so that memory is bounded by the number of
+    distinct runs and not by the length of the texts."""
+    pad, found = b" " * order, [[] for _ in range(order + 1)]
+    before, held, waiting = np.zeros(0, np.int64), 0, [pad]
+
+    def count() -> None:
+        nonlocal before, held, waiting
+        s = np.concatenate([before, symbols[np.frombuffer(b"".join(waiting), np.uint8)].astype(np.int64)])
+        key = np.zeros(len(s), np.int64)
+        for k in range(order + 1):
+            key = key[: max(0, len(s) - k)] * size + s[k:]
+            found[k].append(np.unique(key[max(0, len(before) - k) :], return_counts=True))  # those that end in this block
+            if len(found[k]) > 8:
+                found[k] = [_added(found[k])]
+        before, held, waiting = s[len(s) - min(order, len(s)) :], 0, []
+
+    for text in texts:
+        for at in range(0, len(text), COUNTED):
+            waiting.append(text[at : at + COUNTED])
+            held += len(waiting[-1])
+            if held >= COUNTED:
+                count()
+        waiting.append(pad)
+    count()
+    return [_added(x) for x in found]
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
+def within(rows: Iterable[tuple[object, bytes]], budget: int) -> dict[object, list[bytes]]:
+    """The texts of each class in order, without those that would take the class beyond `budget` bytes."""
+    out, used = {}, {}
+    for label, text in rows:
+        if used.get(label, 0) + len(text) <= budget:
+            used[label] = used.get(label, 0) + len(text)
+            out.setdefault(label, []).append(text)
     return out
 
 

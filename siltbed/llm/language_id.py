@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm._grams import Tables, grams, suffix_index
+from siltbed.llm._grams import Tables, grams, suffix_index, within
 from siltbed.llm.common import free_name, sliced
 
 UNDETERMINED = "und"
 #: Documents per language that a model is fitted on at most: SALTS x PER_SALT, those with the least hashes.
 SALTS, PER_SALT = 64, 6
+#: Bytes per language at most: texts that would go beyond are left out of the fit.
+LANGUAGE_BYTES = 32 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -106,11 +108,10 @@ class PPM:
 
 
 def fit(sample: DataFrame, order: int = 3) -> PPM:
-    """Fit on a bounded sample (see `training_sample`); rows with null lang or text are left out."""
-    samples: dict[str, list[bytes]] = {}
-    for lang, text in sample.where("lang is not null and text is not null").toLocalIterator():
-        samples.setdefault(lang, []).append(text.encode("utf-8", "replace"))
-    return PPM(samples, order)
+    """Fit on a bounded sample (see `training_sample`), of at most LANGUAGE_BYTES a language; rows with null lang or text
+    are left out. Texts reach the driver in the order of their hashes, one partition at a time."""
+    rows = sample.where("lang is not null and text is not null").orderBy(F.xxhash64("text"), "text").toLocalIterator()
+    return PPM(within(((lang, text.encode("utf-8", "replace")) for lang, text in rows), LANGUAGE_BYTES), order)
 
 
 def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:

@@ -3,12 +3,13 @@
 Each class, toxic and ordinary, has an interpolated Kneser-Ney model of its own counts of long runs; short runs back off
 to continuation counts shared by both classes, so that a rare expression is judged by what it is made of instead of by
 which class happened to hold it. The evidence is the difference of the two length-normalised log-likelihoods, for the
-whole text and for its words, whose largest differences tell a few toxic words in a long text. A logistic curve fitted
-on labelled documents that the counts have not seen turns the evidence into a probability.
+whole text and for its words, whose largest differences tell a few toxic words in a long text. A logistic curve turns the
+evidence into a probability; it is fitted on labelled documents that the counts have not seen, a fold at a time.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm._grams import BLOCK, Tables, grams, suffix_index
+from siltbed.llm._grams import BLOCK, Tables, grams, suffix_index, within
 from siltbed.llm.common import free_name, sliced
 
-#: Labelled documents that a model is fitted on at most: of each class, those with the least hashes of their ids.
-TOXIC_DOCS, ORDINARY_DOCS = 3000, 6000
+#: Labelled documents that a model is fitted on at most: of each class, those with the least hashes of their ids, in that
+#: order, without those that would take the class beyond so many bytes.
+TOXIC_DOCS, ORDINARY_DOCS, CLASS_BYTES = 3000, 6000, 48 << 20
+#: Parts of the labelled documents: each is held against counts of the others.
+FOLDS = 3
 SIZE, ORDER, SHARED_BELOW, DISCOUNT = 32, 4, 2, 0.75
 
 
@@ -74,11 +78,13 @@ class KneserNey:
         return out
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
-        """Four numbers a text: mean ratio of its bytes; sum over the words that lean clearly to toxic, by the root of
-        the length; logarithm of one more than that sum; logarithm of the length. All zero for an empty text."""
-        out = np.zeros((len(texts), 4))
+        """Six numbers a text: mean ratio of its bytes; sum over the words that lean clearly to toxic, by the root of the
+        length; logarithms of that sum, of the length, of the ratio of the word that leans most, and of the mean ratio of
+        the three that do. An empty text has one byte without a ratio."""
+        out = np.zeros((len(texts), 6))
         for i, text in enumerate(texts):
             total = top = 0.0
+            most = np.zeros(3)
             for at in range(0, len(text), BLOCK):
                 raw = text[at : at + BLOCK]
                 r = self.tables._gather((b" " * ORDER + text[max(0, at - ORDER) : at])[-ORDER:] + raw)[:, 0].astype(np.float64)
@@ -86,8 +92,9 @@ class KneserNey:
                 blank = self.tables.symbols[np.frombuffer(raw, np.uint8)] == 0
                 words = np.add.reduceat(r, np.flatnonzero(np.r_[True, blank[:-1]]))
                 top += words[words > WORD_LEAN].sum()
+                most = np.sort(np.r_[most, words[words > most[0]]])[-3:]
             n = max(1, len(text))
-            out[i] = total / n, top / n**0.5, np.log1p(top), np.log(n + 200)
+            out[i] = total / n, top / n**0.5, np.log1p(top), np.log(n + 200), np.log1p(most[-1]), np.log1p(most.mean())
         return out
 
 
@@ -97,18 +104,25 @@ WORD_LEAN = 4.0
 
 class Model:
     def __init__(self, ordinary: list[bytes], toxic: list[bytes]):
-        """Two thirds of either class give the counts, the others the logistic curve. Either class may be empty."""
-        part = lambda x, fit: [t for i, t in enumerate(x) if (i % 3 < 2) == fit]
+        """Counts of all texts; the logistic curve comes from each fold's evidence under counts of the other folds. A fold
+        is chosen by the text's checksum, so that equal texts share it. Either class may be empty."""
         self.prior = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
         self.trained = bool(ordinary and toxic)
         if not self.trained:
             return
-        self.kn = KneserNey(part(ordinary, True), part(toxic, True))
-        held = [part(ordinary, False), part(toxic, False)]
-        if not held[0] or not held[1]:
-            held = [ordinary, toxic]
-        x = np.concatenate([self.kn.evidence(h) for h in held])
-        y = np.r_[np.zeros(len(held[0])), np.ones(len(held[1]))]
+        fold = lambda texts, f, own: [t for t in texts if (zlib.crc32(t) % FOLDS == f) == own]
+        x, y = [], []
+        for f in range(FOLDS):
+            known, held = [fold(t, f, False) for t in (ordinary, toxic)], [fold(t, f, True) for t in (ordinary, toxic)]
+            if all(known) and any(held):
+                kn = KneserNey(*known)
+                x += [kn.evidence(h) for h in held]
+                y += [np.full(len(h), float(c)) for c, h in enumerate(held)]
+        self.kn = KneserNey(ordinary, toxic)
+        x, y = (np.concatenate(x), np.concatenate(y)) if x else (np.zeros((0, 6)), np.zeros(0))
+        if y.min(initial=1) == y.max(initial=0):  # too few texts for folds that have both classes
+            x = np.concatenate([self.kn.evidence(t) for t in (ordinary, toxic)])
+            y = np.r_[np.zeros(len(ordinary)), np.ones(len(toxic))]
         self.mean, self.sd = x.mean(0), np.maximum(x.std(0), 1e-9)
         x = np.c_[np.ones(len(x)), (x - self.mean) / self.sd]
         self.w = np.zeros(x.shape[1])
@@ -126,17 +140,17 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
-    """Fit on at most TOXIC_DOCS + ORDINARY_DOCS labelled documents. Null labels, keys and texts do not take part; a
-    document with labels of both kinds counts as toxic."""
+    """Fit on at most TOXIC_DOCS + ORDINARY_DOCS labelled documents, of at most CLASS_BYTES a class. Null labels, keys and
+    texts do not take part; a document with labels of both kinds counts as toxic. The chosen texts reach the driver in
+    order, one partition at a time."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     least = lambda y, n: marked.where(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(n)
     chosen = least(0, ORDINARY_DOCS).union(least(1, TOXIC_DOCS))
     found = docs.where("text is not null").select(key, "text").join(F.broadcast(chosen), key)
-    rows = found.groupBy(key, "toxic").agg(F.min("text").alias("text")).select("toxic", "text").toLocalIterator()  # a repeated key counts once
-    texts: tuple[list[bytes], list[bytes]] = ([], [])
-    for y, text in rows:
-        texts[y].append(text.encode("utf-8", "replace"))
-    return Model(sorted(texts[0]), sorted(texts[1]))  # sorted: the fit does not depend on the order of partitions
+    rows = found.groupBy(key, "toxic").agg(F.min("text").alias("text"))  # a repeated key counts once
+    rows = rows.orderBy(F.xxhash64(key), key).select("toxic", "text").toLocalIterator()
+    texts = within(((y, text.encode("utf-8", "replace")) for y, text in rows), CLASS_BYTES)
+    return Model(texts.get(0, []), texts.get(1, []))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -526,3 +526,29 @@ def test_stages_keep_the_columns(spark, sf):
             data = stage(spark, data, sf)
             assert data.columns == docs.columns and [t for _, t in data.dtypes] == [t for _, t in docs.dtypes]
         assert corpus_pipeline.STAGES[-1][1](spark, data, sf).count() >= 0
+
+
+def test_counts_do_not_depend_on_blocks(monkeypatch):
+    from siltbed.llm import _grams
+
+    symbols, texts = toxicity.symbol_table(), [b"the cat", b"", b"a", b"sat on the mat" * 9, b"x" * 50]
+    stream = symbols[np.frombuffer(b"    " + b"    ".join(texts) + b"    ", np.uint8)].tolist()
+    for block in (1, 3, 7, 1 << 22):
+        monkeypatch.setattr(_grams, "COUNTED", block)
+        for k, (keys, n) in enumerate(_grams.grams(texts, symbols, 32, 4)):
+            want = Counter(sum(x * 32 ** (k - i) for i, x in enumerate(stream[at : at + k + 1])) for at in range(len(stream) - k))
+            assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == want
+
+
+def test_fits_are_bounded_in_bytes():
+    from siltbed.llm import _grams
+
+    assert _grams.within([(1, b"abc"), (0, b"x" * 9), (1, b"abcd"), (1, b"de")], 5) == {1: [b"abc", b"de"]}
+
+
+def test_lines_of_a_document_count_once(spark):
+    """A line that one document repeats is one document's; fifty thousand distinct lines take no quadratic time."""
+    long = "\n".join(f"line {i}" for i in range(50_000))
+    df = spark.createDataFrame([(1, "same\n" * 20 + long), (2, "same\nother"), (3, "line 7\nLINE 7 ")], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_frequent_lines(df, min_docs=2).collect()}
+    assert (got[1].n_dropped, got[2].text, got[3].text) == (21, "other", "") and got[1].text == long.replace("line 7\n", "", 1)
