@@ -1,36 +1,43 @@
 """Keyed hashes, content ids and their checks.
 
-HMAC-SHA256 is a column expression and stays in whole-stage code; the other algorithms run in Arrow UDFs. Blake2bp and
-Blake3 have no implementation here and raise UnsupportedAlgorithm.
+HMAC-SHA256 is a column expression and stays in whole-stage code; the other algorithms run in Arrow UDFs, BLAKE2bp and
+BLAKE3 with a batch of values at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltbed.functions import blake
+
 ID_SIZE = 32
 MANIFEST_ID = bytes(ID_SIZE)
-ALGORITHMS = ("sha256", "blake2b", "sha3")
+ALGORITHMS = ("sha256", "blake2b", "blake2bp", "blake3", "sha3")
 
 
 class UnsupportedAlgorithm(ValueError):
     pass
 
 
-def mac_function(algorithm: str, key: bytes) -> Callable[[bytes], bytes]:
-    """A keyed hash of bytes: 32 bytes for sha256 and sha3, 64 for blake2b (whose key is cut at 64 bytes)."""
+def mac_function(algorithm: str, key: bytes) -> Callable[[Sequence[bytes]], list[bytes]]:
+    """A keyed hash of each of many values: 32 bytes for sha256, sha3 and blake3 (whose key is cut or filled up with zero
+    bytes to 32), 64 for blake2b and blake2bp (whose key is cut at 64 bytes)."""
     if algorithm == "sha256":
-        return lambda x: hmac.digest(key, x, "sha256")
+        return lambda values: [hmac.digest(key, x, "sha256") for x in values]
     if algorithm == "sha3":
-        return lambda x: hmac.digest(key, x, "sha3_256")
+        return lambda values: [hmac.digest(key, x, "sha3_256") for x in values]
     if algorithm == "blake2b":
-        return lambda x: hashlib.blake2b(x, key=key[:64], digest_size=64).digest()
+        return lambda values: [hashlib.blake2b(x, key=key[:64], digest_size=64).digest() for x in values]
+    if algorithm == "blake2bp":
+        return lambda values: blake.blake2bp(values, key)
+    if algorithm == "blake3":
+        return lambda values: blake.blake3(values, key)
     raise UnsupportedAlgorithm(f"no {algorithm} here; use one of {', '.join(ALGORITHMS)}")
 
 
@@ -51,7 +58,8 @@ def mac(value: Column, key: bytes, algorithm: str = "sha256") -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = mac_function(algorithm, key)
         for s in parts:
-            yield s.map(lambda x: None if x is None else f(bytes(x)))
+            found = s.notna()
+            yield pd.Series(f([bytes(x) for x in s[found]]), s.index[found], object).reindex(s.index).where(found, None)
 
     return run(value)
 

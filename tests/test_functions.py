@@ -4,7 +4,7 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.functions import codecs, hashing, paths
+from siltbed.functions import blake, codecs, hashing, paths
 from siltbed.functions.keys import Key, KeyError_
 
 KEY = Key(bytes(range(32)), bytes(range(32, 64)), bytes(range(64, 96)), 7)
@@ -26,7 +26,7 @@ def test_mac_algorithms(spark):
     assert bytes(one(spark, b"x", hashing.mac(F.col("v"), b"k", "sha3"))) == hmac.digest(b"k", b"x", "sha3_256")
     assert bytes(one(spark, b"x", hashing.mac(F.col("v"), b"k", "blake2b"))) == hashlib.blake2b(b"x", key=b"k").digest()
     with pytest.raises(hashing.UnsupportedAlgorithm):
-        hashing.mac(F.col("v"), b"k", "blake3")
+        hashing.mac(F.col("v"), b"k", "md5")
 
 
 @pytest.mark.parametrize("raw", [b"", b"\x01", b"\x01" * 32, b"\x02" * 64])
@@ -110,3 +110,46 @@ def test_paths(spark):
     assert tuple(r) == ("a/b/c", "a/b", ["a", "a/b"], "x:y:", ":")
     t = spark.sql("select timestamp'2020-05-31 12:00:00' t").select(paths.rfc2822(F.col("t")).alias("a"), paths.rfc2822(F.col("t"), F.lit(-5400)).alias("b")).first()
     assert tuple(t) == ("Sun, 31 May 2020 12:00:00 +0000", "Sun, 31 May 2020 10:30:00 -0130")
+
+
+def counting(n):
+    return bytes(i % 251 for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "n, digest",
+    [
+        (0, "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"),
+        (1, "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213"),
+        (1024, "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7"),
+        (1025, "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444"),
+        (2048, "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a"),
+        (31744, "62b6960e1a44bcc1eb1a611a8d6235b6b4b78f32e7abc4fb4c6cdcce94895c47"),
+        (102400, "bc3e3d41a1146b069abffad3c0d44860cf664390afce4d9661f7902e7943e085"),
+    ],
+)
+def test_blake3_published_vectors(n, digest):
+    assert blake.blake3([b"x", counting(n), b"y" * 5000])[1].hex() == digest
+
+
+def test_keyed_published_vectors():
+    key = b"whats the Elvish word for friend"
+    assert blake.blake3([b"", counting(1)], key)[0].hex() == "92b2b75604ed3c761f9d6f62392c8a9227ad0ea3f09573e783f1498a4ed60d26"
+    assert blake.blake3([counting(1)], key)[0].hex() == "6d7878dfff2f485635d39013278ae14f1454b8c0a3a2d34bc1ab38228a80c95b"
+    want = "9d9461073e4eb640a255357b839f394b838c6ff57c9b686a3f76107c1066728f3c9956bd785cbc3bf79dc2ab578c5a0c063b9d9c405848de1dbe821cd05c940a"
+    assert blake.blake2bp([b""], bytes(range(64)))[0].hex() == want
+
+
+def test_blake2bp_root_without_key():
+    """Without a key hashlib can compute the root too."""
+    for n in (0, 1, 127, 128, 129, 512, 513, 1000, 5000):
+        root = hashlib.blake2b(blake._leaves(counting(n), b""), digest_size=64, fanout=4, depth=2, inner_size=64, node_depth=1, last_node=True)
+        assert blake.blake2bp([counting(n)])[0] == root.digest()
+
+
+@pytest.mark.parametrize("algorithm", hashing.ALGORITHMS)
+def test_mac_keeps_rows_and_nulls(spark, algorithm):
+    values = [b"a", None, b"", b"z" * 3000, b"a"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v binary").select("i", hashing.mac(F.col("v"), b"k", algorithm).alias("m")).orderBy("i").collect()
+    f = hashing.mac_function(algorithm, b"k")
+    assert [None if r.m is None else bytes(r.m) for r in rows] == [None if v is None else f([v])[0] for v in values]
