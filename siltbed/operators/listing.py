@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.functions.paths import ancestors, parent
+from siltbed.operators import chains
 
 EXTENTS = "array<struct<start:bigint,end:bigint>>"
 
@@ -37,14 +38,11 @@ def nodes_of_extents(rows: DataFrame) -> DataFrame:
 
 
 def bfs(nodes: DataFrame) -> DataFrame:
-    """(path, depth) of all nodes reachable from the roots (empty parent), in levels; each path once, at its least depth.
-    A node whose parent is missing or is not a directory is not reached."""
-    nodes.select("path", "parent_path", "node_type").createOrReplaceTempView("_siltbed_nodes")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE walk(path, node_type, depth) AS (
-            SELECT path, node_type, 0 FROM _siltbed_nodes WHERE parent_path = ''
-            UNION ALL SELECT n.path, n.node_type, w.depth + 1 FROM walk w JOIN _siltbed_nodes n ON n.parent_path = w.path AND w.node_type = 'Directory')
-        SELECT path, min(depth) AS depth FROM walk GROUP BY path""")
+    """(path, depth long) of all nodes reachable from the roots (empty parent); each path, which has one parent, once. A
+    node whose parent is missing or is not a directory is not reached, nor is what is below it."""
+    kept = attached(nodes).groupBy("path").agg(F.min("parent_path").alias("up"))
+    found = chains.ends(kept.select(F.col("path").alias("node"), F.nullif("up", F.lit("")).alias("up")))
+    return found.select(F.col("node").alias("path"), F.col("distance").alias("depth"))
 
 
 def orphans(nodes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions.hashing import hmac_sha256
+from siltbed.operators import chains
+from siltbed.plans.shared import cut
 
 
 def parents(tx: DataFrame) -> DataFrame:
@@ -23,17 +25,29 @@ def dangling(tx: DataFrame) -> DataFrame:
 
 
 def depth(tx: DataFrame) -> DataFrame:
-    """(tag, depth) of the records reachable from records without parents: the longest path to one.
-
-    A recursive query walks level by level; each level is one shuffle join on the parent."""
-    spark = tx.sparkSession
-    tx.select("tag", "previous_heads").createOrReplaceTempView("_siltbed_tx")
-    return spark.sql("""
-        WITH RECURSIVE e AS (SELECT tag, explode(previous_heads) AS parent FROM _siltbed_tx),
-        walk(tag, depth) AS (
-            SELECT tag, 0 FROM _siltbed_tx WHERE size(previous_heads) = 0
-            UNION ALL SELECT e.tag, w.depth + 1 FROM walk w JOIN e ON e.parent = w.tag)
-        SELECT tag, max(depth) AS depth FROM walk GROUP BY tag""")
+    """(tag, depth long) of the records reachable from records without parents: the longest path to one.
+
+    Runs of records with one parent each are followed by pointer doubling to the root or merge that they start from. Only
+    merges are left then; their depths rise round by round until they settle, with one row a merge, however many paths
+    lead to it. A log without merges takes a logarithmic number of rounds. Null parents count as none; a repeated tag
+    counts once.
+    """
+    up = F.array_distinct(F.coalesce("previous_heads", F.array().cast("array<string>")))
+    base = cut(tx.dropDuplicates(["tag"]).select("tag", up.alias("up")))
+    runs = cut(chains.ends(base.select(F.col("tag").alias("node"), F.when(F.size("up") == 1, F.get("up", F.lit(0))).alias("up"))))
+    known = base.where(F.size("up") == 0).select(F.col("tag").alias("anchor"), F.lit(0).cast("long").alias("depth"))
+    merges = base.where(F.size("up") > 1).select("tag", F.explode("up").alias("node"))
+    steps = cut(merges.join(runs, "node").select("tag", "anchor", (F.col("distance") + 1).alias("more")))
+    if not steps.isEmpty():
+        known, before = cut(known), None
+        while True:
+            risen = steps.join(known, "anchor").select(F.col("tag").alias("anchor"), (F.col("depth") + F.col("more")).alias("depth"))
+            known = cut(known.union(risen).groupBy("anchor").agg(F.max("depth").alias("depth")))
+            now = known.agg(F.count("*"), F.sum("depth")).first()  # neither ever falls
+            if now == before:
+                break
+            before = now
+    return runs.join(known, "anchor").select(F.col("node").alias("tag"), (F.col("distance") + F.col("depth")).alias("depth"))
 
 
 def canonical(*columns: str) -> Column:

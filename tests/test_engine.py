@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.operators import dedup, index, listing, manifest, restore
+from siltbed.operators import chains, dedup, index, listing, manifest, restore
 from siltbed.operators.chunkers import BuzHash, StaticSize
 from siltbed.plans.repository import AlreadyExists, ArchiveNotFound, Locked, Repository, RepositoryError, Settings
 from siltbed.sources.files import scan_directories, scan_files, write_files
@@ -182,3 +182,20 @@ def test_command_line(spark, tmp_path, tree, capsys):
     assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()) == ["1", "B/5", "B/C/6+x y", "ü.txt"]
     main(["bench-crypto", "--rounds", "1"])
     assert capsys.readouterr().out.count("MiB/s") == 10
+
+
+def test_depth_of_long_and_merged_logs(spark):
+    """Beyond a hundred levels, and merges one after another, which double the number of paths each time."""
+    long = [(f"l{i}", [f"l{i - 1}"] if i else []) for i in range(300)]
+    merged = [("m0", [])] + [x for i in range(1, 13) for x in ((f"a{i}", [f"m{i - 1}"]), (f"b{i}", [f"a{i}", f"a{i}"]), (f"m{i}", [f"a{i}", f"b{i}"]))]
+    odd = [("none", None), ("lost", ["gone"]), ("below", ["lost"]), ("half", ["gone", "l3"]), ("l5", ["l4"])]
+    got = {r.tag: r.depth for r in manifest.depth(spark.createDataFrame(long + merged + odd, "tag string, previous_heads array<string>").repartition(4)).collect()}
+    want = {f"l{i}": i for i in range(300)} | {"m0": 0, "none": 0, "half": 4}
+    want |= {f"{k}{i}": 3 * i - 2 + "abm".index(k) for i in range(1, 13) for k in "abm"}
+    assert got == want
+    assert manifest.depth(spark.createDataFrame([], "tag string, previous_heads array<string>")).count() == 0
+
+
+def test_chains_of_links(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y")], "node string, up string")
+    assert {tuple(r) for r in chains.ends(rows).collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2)}
