@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import lzma
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from siltbed.functions.keys import Key
 COMPRESSIONS, ENCRYPTIONS = ("none", "zstd", "lz4", "xz"), ("none", "aes256ctr", "chacha20")
 IV_SIZE = {"none": 0, "aes256ctr": 16, "chacha20": 12}
 KEY_SIZE = {"none": 16, "aes256ctr": 32, "chacha20": 32}
+#: Bytes of key stream made together.
+TOGETHER = 4 << 20
 
 
 class IntegrityError(Exception):
@@ -52,14 +55,16 @@ def decompress(raw: bytes, kind: str) -> bytes:
     raise UnsupportedAlgorithm(f"no compression {kind}; use one of {', '.join(COMPRESSIONS)}")
 
 
-def chacha20_stream(key: bytes, iv: bytes, size: int, counter: int = 0) -> bytes:
-    """Key stream of ChaCha20 with 32-bit counter and 96-bit nonce (RFC 8439), all blocks at once."""
-    n = -(-size // 64)
-    state = np.empty((16, n), np.uint32)
+def chacha20_streams(key: bytes, ivs: Sequence[bytes], sizes: Sequence[int], counter: int = 0) -> list[bytes]:
+    """Key streams of ChaCha20 with 32-bit counter and 96-bit nonce (RFC 8439), all blocks of all streams at once."""
+    blocks = np.array([-(-n // 64) for n in sizes], np.int64)
+    first = np.cumsum(blocks) - blocks
+    owner = np.repeat(np.arange(len(blocks)), blocks)
+    state = np.empty((16, len(owner)), np.uint32)
     state[:4] = np.frombuffer(b"expand 32-byte k", "<u4")[:, None]
     state[4:12] = np.frombuffer(key, "<u4")[:, None]
-    state[12] = counter + np.arange(n, dtype=np.uint32)
-    state[13:] = np.frombuffer(iv, "<u4")[:, None]
+    state[12] = counter + np.arange(len(owner)) - first[owner]
+    state[13:] = np.frombuffer(b"".join(ivs), "<u4").reshape(-1, 3)[owner].T
     x = state.copy()
 
     def turn(v: np.ndarray, n: int) -> np.ndarray:
@@ -75,28 +80,62 @@ def chacha20_stream(key: bytes, iv: bytes, size: int, counter: int = 0) -> bytes
             quarter(s, 4 + s, 8 + s, 12 + s)
         for s in range(4):
             quarter(s, 4 + (s + 1) % 4, 8 + (s + 2) % 4, 12 + (s + 3) % 4)
-    return (x + state).astype("<u4").T.tobytes()[:size]
+    out = (x + state).astype("<u4").T.tobytes()
+    return [out[64 * at : 64 * at + n] for at, n in zip(first.tolist(), sizes, strict=True)]
+
+
+def chacha20_stream(key: bytes, iv: bytes, size: int, counter: int = 0) -> bytes:
+    return chacha20_streams(key, [iv], [size], counter)[0]
+
+
+def chacha20(key: bytes, values: Sequence[bytes], ivs: Sequence[bytes]) -> list[bytes]:
+    """Each value XORed with its key stream, some megabytes at a time."""
+    out, at = [], 0
+    while at < len(values):
+        end, held = at, 0
+        while end < len(values) and (held == 0 or held + len(values[end]) <= TOGETHER):
+            held += len(values[end]) + 1
+            end += 1
+        streams = chacha20_streams(key, ivs[at:end], [len(x) for x in values[at:end]])
+        out += map(xor, values[at:end], streams)
+        at = end
+    return out
+
+
+def counter_blocks(iv: bytes, size: int) -> bytes:
+    """The 128-bit big-endian counters from iv on that cover size bytes."""
+    n, start = -(-size // 16), int.from_bytes(iv, "big")
+    high, low = divmod(start, 1 << 64)
+    out = np.empty((n, 2), ">u8")
+    if low + n <= 1 << 64:
+        out[:, 0], out[:, 1] = high, np.uint64(low) + np.arange(n, dtype=np.uint64)
+        return out.tobytes()
+    return b"".join(((start + i) % (1 << 128)).to_bytes(16, "big") for i in range(n))
 
 
 def xor(a: bytes, b: bytes) -> bytes:
     return (np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)[: len(a)]).tobytes()
 
 
-def _each(f, value: Column, iv: Column) -> Column:
+def _each(f: Callable[[list[bytes], list[bytes]], list[bytes]], value: Column, other: Column) -> Column:
+    """f over the values of a batch that are not null, with those of another column; null for null."""
+
     @F.pandas_udf("binary")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for v, i in parts:
-            yield pd.Series([None if x is None else f(bytes(x), bytes(n)) for x, n in zip(v, i, strict=True)], dtype=object)
+        for v, o in parts:
+            known = v.notna()
+            got = f([bytes(x) for x in v[known]], [bytes(x) for x in o[known]])
+            yield pd.Series(got, v.index[known], object).reindex(v.index).where(known, None)
 
-    return run(value, iv)
+    return run(value, other)
 
 
 def compressed(value: Column, kind: str, level: int = 1) -> Column:
-    return value if kind == "none" else _each(lambda x, _: compress(x, kind, level), value, F.lit(b""))
+    return value if kind == "none" else _each(lambda xs, _: [compress(x, kind, level) for x in xs], value, F.lit(b""))
 
 
 def decompressed(value: Column, kind: str) -> Column:
-    return value if kind == "none" else _each(lambda x, _: decompress(x, kind), value, F.lit(b""))
+    return value if kind == "none" else _each(lambda xs, _: [decompress(x, kind) for x in xs], value, F.lit(b""))
 
 
 def fresh_iv(kind: str) -> Column:
@@ -110,22 +149,54 @@ def fresh_iv(kind: str) -> Column:
     return run.asNondeterministic()(F.lit(0)) if size else F.lit(b"")
 
 
-def ciphered(value: Column, kind: str, key: bytes, iv: Column) -> Column:
-    """Encrypts or decrypts (both ciphers XOR a key stream). AES counter blocks are encrypted by the JVM's AES."""
+def ciphered(value: Column, kind: str, key: bytes, iv: Column, then: Callable[[bytes], bytes] | None = None) -> Column:
+    """Encrypts or decrypts (both ciphers XOR a key stream). AES counter blocks are encrypted by the JVM's AES. `then` is
+    applied to each result in the same Python stage."""
+    finish = (lambda xs: [then(x) for x in xs]) if then else (lambda xs: xs)
     if kind == "none":
-        return value
-    key = key[: KEY_SIZE[kind]].ljust(KEY_SIZE[kind], b"\0")
+        return _each(lambda xs, _: finish(xs), value, F.lit(b"")) if then else value
+    key = cipher_key(kind, key)
     if kind == "chacha20":
-        return _each(lambda x, n: xor(x, chacha20_stream(key, n, len(x))), value, iv)
-    if kind != "aes256ctr":
+        return _each(lambda xs, ns: finish(chacha20(key, xs, ns)), value, iv)
+    stream = _stream(_each(lambda xs, ns: [counter_blocks(n, len(x)) for x, n in zip(xs, ns, strict=True)], value, iv), key)
+    return _each(lambda xs, ss: finish(list(map(xor, xs, ss))), value, stream)
+
+
+def cipher_key(kind: str, key: bytes) -> bytes:
+    if kind not in ENCRYPTIONS:
         raise UnsupportedAlgorithm(f"no encryption {kind}; use one of {', '.join(ENCRYPTIONS)}")
+    return key[: KEY_SIZE[kind]].ljust(KEY_SIZE[kind], b"\0")
+
+
+def _stream(blocks: Column, key: bytes) -> Column:
+    return F.aes_encrypt(blocks, F.lit(key), F.lit("ECB"), F.lit("PKCS"))
+
+
+def _sealed(rows: DataFrame, compression: str, level: int, encryption: str, key: bytes) -> DataFrame:
+    """(chunk_id, body) to (chunk_id, data, iv): compressed and encrypted. One Python stage, and one more to apply the
+    JVM's AES."""
+    key, size = cipher_key(encryption, key), IV_SIZE[encryption]
+    if encryption == "none":
+        return rows.select("chunk_id", compressed(F.col("body"), compression, level).alias("data"), F.lit(b"").alias("iv"))
 
-    def counters(x: bytes, n: bytes) -> bytes:
-        start = int.from_bytes(n, "big")
-        return b"".join(((start + i) % (1 << 128)).to_bytes(16, "big") for i in range(-(-len(x) // 16)))
+    @F.pandas_udf("data binary, iv binary, blocks binary")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for v in parts:
+            known = v.notna()
+            xs = [compress(bytes(x), compression, level) for x in v[known]]
+            random = os.urandom(size * len(v))
+            ivs = pd.Series([random[i : i + size] for i in range(0, len(random), size)], v.index, object)
+            ns = list(ivs[known])
+            if encryption == "chacha20":
+                xs, blocks = chacha20(key, xs, ns), [b""] * len(xs)
+            else:
+                blocks = [counter_blocks(n, len(x)) for x, n in zip(xs, ns, strict=True)]
+            column = lambda x: pd.Series(x, v.index[known], object).reindex(v.index).where(known, None)  # noqa: B023, E731
+            yield pd.DataFrame({"data": column(xs), "iv": ivs, "blocks": column(blocks)})
 
-    stream = F.aes_encrypt(_each(counters, value, iv), F.lit(key), F.lit("ECB"), F.lit("PKCS"))
-    return _each(xor, value, stream)
+    rows = rows.select("chunk_id", run.asNondeterministic()("body").alias("p"))
+    data = F.col("p.data") if encryption == "chacha20" else _each(lambda xs, ss: list(map(xor, xs, ss)), F.col("p.data"), _stream(F.col("p.blocks"), key))
+    return rows.select("chunk_id", data.alias("data"), F.col("p.iv").alias("iv"))
 
 
 def pack(slices: DataFrame, key: Key, compression: str = "zstd", level: int = 1, encryption: str = "aes256ctr", algorithm: str = "sha256") -> DataFrame:
@@ -134,8 +205,7 @@ def pack(slices: DataFrame, key: Key, compression: str = "zstd", level: int = 1,
     A chunk_id column is kept; without one it is computed from the plain body. Null bodies give null data.
     """
     rows = slices if "chunk_id" in slices.columns else slices.withColumn("chunk_id", chunk_id(mac(F.col("body"), key.id_key, algorithm)))
-    rows = rows.select("chunk_id", compressed(F.col("body"), compression, level).alias("data"), fresh_iv(encryption).alias("iv"))
-    rows = rows.withColumn("data", ciphered(F.col("data"), encryption, key.key, F.col("iv")))
+    rows = _sealed(rows.select("chunk_id", "body"), compression, level, encryption, key.key)
     return rows.select(
         "chunk_id", F.lit(compression).alias("compression"), F.lit(level).alias("level"), F.lit(encryption).alias("encryption"), "iv",
         F.lit(algorithm).alias("hmac"), mac(F.col("data"), key.hmac_key, algorithm).alias("mac"), "data",
@@ -159,7 +229,8 @@ def unpack(packed: DataFrame, key: Key, settings: list[tuple[str, str, str]] | N
         bad = F.raise_error(F.lit("a packed slice does not fit its MAC")).cast("binary") if fail else F.lit(None).cast("binary")
         part = packed.where(here).withColumn("_good", good)
         part = part.withColumn("_data", F.when(F.col("_good"), F.col("data")).when(F.col("data").isNotNull(), bad))
-        part = part.withColumn("body", decompressed(ciphered(F.col("_data"), encryption, key.key, F.col("iv")), compression)).drop("_good", "_data")
+        then = None if compression == "none" else partial(decompress, kind=compression)
+        part = part.withColumn("body", ciphered(F.col("_data"), encryption, key.key, F.col("iv"), then)).drop("_good", "_data")
         body = part if isinstance(body, Column) else body.unionByName(part)
     return packed.withColumn("body", F.lit(None).cast("binary")).limit(0) if isinstance(body, Column) else body
 

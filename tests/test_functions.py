@@ -153,3 +153,17 @@ def test_mac_keeps_rows_and_nulls(spark, algorithm):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v binary").select("i", hashing.mac(F.col("v"), b"k", algorithm).alias("m")).orderBy("i").collect()
     f = hashing.mac_function(algorithm, b"k")
     assert [None if r.m is None else bytes(r.m) for r in rows] == [None if v is None else f([v])[0] for v in values]
+
+
+def test_key_streams_together():
+    key, sizes = bytes(range(32)), [0, 1, 64, 65, 1000]
+    ivs = [bytes([i] * 12) for i in range(len(sizes))]
+    assert codecs.chacha20_streams(key, ivs, sizes) == [codecs.chacha20_stream(key, n, s) for n, s in zip(ivs, sizes, strict=True)]
+    values = [b"x" * s for s in sizes]
+    assert codecs.chacha20(key, codecs.chacha20(key, values, ivs), ivs) == values and codecs.chacha20(key, [], []) == []
+
+
+@pytest.mark.parametrize("start", [0, 5, 2**64 - 2, 2**127 + 2**64 - 1, 2**128 - 1])
+def test_counter_blocks_carry(start):
+    want = b"".join(((start + i) % 2**128).to_bytes(16, "big") for i in range(3))
+    assert codecs.counter_blocks(start.to_bytes(16, "big"), 40) == want and codecs.counter_blocks(start.to_bytes(16, "big"), 0) == b""
