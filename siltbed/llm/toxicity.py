@@ -4,7 +4,8 @@ Each class, toxic and ordinary, has an interpolated Kneser-Ney model of its own
 to continuation counts shared by both classes, so that a rare expression is judged by what it is made of instead of by
 which class happened to hold it. The evidence is the difference of the two length-normalised log-likelihoods, for the
 whole text and for its words, whose largest differences tell a few toxic words in a long text. A logistic curve turns the
-evidence into a probability; it is fitted on labelled documents that the counts have not seen, a fold at a time.
+evidence into a probability; it is fitted on labelled documents that the counts have not seen, a fold at a time, weighted
+so that both classes have their shares of all labelled documents, however many of either the model is fitted on.
 """
 
 from __future__ import annotations
@@ -103,10 +104,14 @@ WORD_LEAN = 4.0
 
 
 class Model:
-    def __init__(self, ordinary: list[bytes], toxic: list[bytes]):
+    def __init__(self, ordinary: list[bytes], toxic: list[bytes], labelled: tuple[int, int] | None = None):
         """Counts of all texts; the logistic curve comes from each fold's evidence under counts of the other folds. A fold
-        is chosen by the text's checksum, so that equal texts share it. Either class may be empty."""
-        self.prior = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
+        is chosen by the text's checksum, so that equal texts share it. Either class may be empty.
+
+        labelled: how many labelled documents, ordinary and toxic, the texts stand for (else the texts are all). The
+        curve is fitted with the odds of these, not with those of the texts."""
+        labelled = np.array(labelled or (len(ordinary), len(toxic)), float)
+        self.prior = (labelled[1] + 0.5) / (labelled.sum() + 1)
         self.trained = bool(ordinary and toxic)
         if not self.trained:
             return
@@ -123,13 +128,14 @@ class Model:
         if y.min(initial=1) == y.max(initial=0):  # too few texts for folds that have both classes
             x = np.concatenate([self.kn.evidence(t) for t in (ordinary, toxic)])
             y = np.r_[np.zeros(len(ordinary)), np.ones(len(toxic))]
+        weight = (labelled / labelled.sum() / (np.bincount(y.astype(int), minlength=2) / len(y)))[y.astype(int)]
         self.mean, self.sd = x.mean(0), np.maximum(x.std(0), 1e-9)
         x = np.c_[np.ones(len(x)), (x - self.mean) / self.sd]
         self.w = np.zeros(x.shape[1])
         ridge = np.diag([1e-6] + [0.1] * (x.shape[1] - 1))
         for _ in range(30):  # Newton steps of a ridge logistic regression
             p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ self.w)
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ self.w)
             self.w += np.clip(step, -5, 5)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -142,15 +148,17 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     """Fit on at most TOXIC_DOCS + ORDINARY_DOCS labelled documents, of at most CLASS_BYTES a class. Null labels, keys and
     texts do not take part; a document with labels of both kinds counts as toxic. The chosen texts reach the driver in
-    order, one partition at a time."""
+    order, one partition at a time. The labelled documents of either class are counted without any bound."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     least = lambda y, n: marked.where(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(n)
     chosen = least(0, ORDINARY_DOCS).union(least(1, TOXIC_DOCS))
-    found = docs.where("text is not null").select(key, "text").join(F.broadcast(chosen), key)
+    told = docs.where("text is not null").select(key, "text")
+    labelled = {r["toxic"]: r["count"] for r in marked.join(told.select(key), key, "left_semi").groupBy("toxic").count().collect()}
+    found = told.join(F.broadcast(chosen), key)
     rows = found.groupBy(key, "toxic").agg(F.min("text").alias("text"))  # a repeated key counts once
     rows = rows.orderBy(F.xxhash64(key), key).select("toxic", "text").toLocalIterator()
     texts = within(((y, text.encode("utf-8", "replace")) for y, text in rows), CLASS_BYTES)
-    return Model(texts.get(0, []), texts.get(1, []))
+    return Model(texts.get(0, []), texts.get(1, []), (labelled.get(0, 0), labelled.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -76,6 +76,24 @@ def test_toxicity(spark, sf, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_keeps_the_odds_of_all_labels(spark, monkeypatch):
+    """One in three documents with the word is toxic; a sample with other odds than all labels does not change that."""
+    kind = lambda i: "an idiot" if i % 10 == 0 or i % 10 in (3, 7) else "a friend"
+    docs = spark.createDataFrame([(i, f"you are {kind(i)} number {i % 37} of the day") for i in range(1200)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    unclear = docs.where("text like '%idiot%'")
+    mean = lambda: toxicity.score(unclear, toxicity.fit(docs, labels)).agg(F.avg("score"), F.avg("predicted")).first()
+    whole = mean()
+    assert abs(whole[0] - 1 / 3) < 0.05
+    for toxic, ordinary in ((120, 120), (60, 120), (30, 400)):
+        monkeypatch.setattr(toxicity, "TOXIC_DOCS", toxic)
+        monkeypatch.setattr(toxicity, "ORDINARY_DOCS", ordinary)
+        capped = mean()
+        assert abs(capped[0] - whole[0]) < 0.12 and capped[1] < 0.1
+    one = toxicity.fit(docs, labels.where("toxic = 1"))
+    assert one.prior > 0.99 and not one.trained
+
+
 def test_kneser_ney_is_a_distribution():
     kn = toxicity.KneserNey([b"the cat sat on the mat " * 5], [b"the rat bit the idiot " * 5])
     ratio = kn.tables.values.reshape(-1, toxicity.SIZE)
