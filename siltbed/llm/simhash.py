@@ -126,26 +126,28 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return rows.repartition(n, "g").sortWithinPartitions("g", "t").mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for the nodes of edges (a, b).
 
-    Each round takes the least label among a node's neighbours, then follows the labels once more, so that the distance
-    a label travels doubles. Labels live in the shared checkpoint folder; a node's neighbours are few (see above), and
-    the join on labels has its many rows on the side that adaptive execution splits.
+    Each round follows every label once more, and the least label found at a node's neighbours goes to the node and to the
+    node that its label names (FastSV): whole trees are hooked to smaller ones, so that the rounds grow about as the
+    logarithm of the longest path. Labels only fall and stay in their component, so the rounds end; when none changes,
+    neighbours have the same label and it is the least. Labels live in the shared checkpoint folder; a node's neighbours are
+    few (see above), and the joins on labels have their many rows on the side that adaptive execution splits.
     """
     both = cut(edges.union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("root")))
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        moved = cut(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid")))
-        hop = moved.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        labels = cut(moved.join(hop, "mid").select("node", "old", F.least("mid", "far").alias("root")))
-        if labels.where("root <> old").isEmpty():
-            break
-        labels = labels.select("node", "root")
-    else:
-        raise RuntimeError("components have not settled")
-    return labels.select("node", "root")
+    while True:
+        up = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        far = cut(labels.join(up, "root").select("node", "root", "far"))
+        near = both.join(far, both.b == far.node).groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
+        own = F.struct("node", F.col("root").alias("old"), F.least("far", "near").alias("root"))
+        hooked = F.struct(F.col("root").alias("node"), F.lit(None).cast(edges.schema["a"].dataType).alias("old"), F.col("near").alias("root"))
+        moved = far.join(near, "node").select(F.explode(F.array(own, hooked)).alias("m")).select("m.*")
+        moved = cut(moved.groupBy("node").agg(F.max("old").alias("old"), F.min("root").alias("root")))
+        labels = moved.select("node", "root")
+        if moved.where("root <> old").isEmpty():
+            return labels
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

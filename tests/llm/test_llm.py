@@ -248,6 +248,19 @@ def test_simhash_links_every_pair(spark):
     assert comp == {f: want[f] for f in signed if f in comp} and {f for p in got for f in p} == set(comp)
 
 
+def test_components_of_long_chains(spark, monkeypatch):
+    """Paths of any order settle in few rounds: the worst order for spreading labels, random orders, and a cycle."""
+    rng, n = random.Random(3), 400
+    orders = [[0, *range(n - 1, 0, -1)], rng.sample(range(n), n), [*range(n)], [5, 3, 4, 5]]
+    edges = [(x + k * n - n, y + k * n - n) for k, order in enumerate(orders) for x, y in zip(order, order[1:], strict=False)]
+    calls, real = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: calls.append(1) or real(df))
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    want = {v + k * n - n: min(order) + k * n - n for k, order in enumerate(orders) for v in order}
+    assert got == want and len(calls) <= 2 + 2 * 15
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_simhash_odd_input(spark, odd):
     out = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(odd).collect()}
     assert out[(1, "0" * 16)] == out[(2, "0" * 16)] == out[(5, "0" * 16)] == out[(None, "0" * 16)] == 1
