@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from siltbed.llm.common import free_name, sliced
 
-#: Characters of a text leaf and bytes of a leaf of one long match.
-TEXT_LEAF, PIECE_LEAF = 1 << 12, 256
+#: Characters of a text leaf and bytes of a leaf of one long match: small, so that ordinary documents are joined from many.
+TEXT_LEAF, PIECE_LEAF = 256, 64
 #: A place that bounds a match is after the first character of this.
 SEAM = re.compile(r"[!-~\w][ \n]")
 

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -130,6 +131,31 @@ def test_bpe_tree_joins(docs, text_leaf, piece_leaf):
 # 3
 
 
+def brute_ids(text):
+    """Byte-level BPE without the library: the pair of the least rank, the leftmost of ties, until none is left."""
+    ids = []
+    for piece in regex.findall(public_tokenizers.PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, i = min((RANKS.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+            if rank == 1 << 30:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        ids += [RANKS[p] for p in parts]
+    return ids
+
+
+def test_bpe_joins_ordinary_documents(docs, monkeypatch):
+    """With the leaves of the query nearly all documents are made by joins, and the ids are those of plain merging."""
+    joined, real = set(), bpe.Codec.window
+    monkeypatch.setattr(bpe.Codec, "window", lambda self, text, *at: joined.add(text) or real(self, text, *at))
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = [t for _, t, _ in docs if t]
+    for t in texts[:150]:
+        assert codec.encode(t) == (brute_ids(t) if len(t) < 5000 else ENC.encode_ordinary(t))
+    assert len(joined) > 0.85 * len(set(texts[:150]))
+
+
 def brute_lines(texts, least=10):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     n = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
