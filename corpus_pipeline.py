@@ -40,10 +40,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_chars, ids, n_tokens): the token ids of the whole text."""
+    """(doc_id, lang, source, n_chars, ids, n_tokens, decoded_sha256): the token ids of the whole text, and the digest of
+    the bytes they decode to. Fails where these are not the text's."""
     ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
-    found = bpe.encode(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN)
-    return found.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    found = same_text(bpe.encode(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN, digest=True))
+    return found.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
+
+
+def same_text(encoded: DataFrame) -> DataFrame:
+    """encoded, if each decoded_sha256 is that of the text (a null text counts as empty); else its ids and digest fail."""
+    same = F.col("decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")), 256)
+    wrong = F.raise_error(F.concat(F.lit("ids do not decode to the text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return encoded.withColumns({c: F.when(same, F.col(c)).otherwise(wrong.cast(encoded.schema[c].dataType)) for c in ("ids", "decoded_sha256")})
 
 
 STAGES = [

@@ -128,14 +128,16 @@ class Codec:
         return self.decode(ids[:half], leaf) + self.decode(ids[half:], leaf)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
-    """docs with `ids`, an array of token ids of the whole text.
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", digest: bool = False) -> DataFrame:
+    """docs with `ids`, an array of token ids of the whole text; with digest also `decoded_sha256`, the lowercase hex
+    SHA-256 of the bytes that the ids decode to.
 
     One narrow pass, no shuffle; a worker holds one batch of texts and their ids. A null text counts as
-    empty and gets no ids. Other columns, nulls and repeated rows pass through; if docs has a column `ids`, the new one
-    gets underscores in front. The vocabulary is a fixed table of the tokeniser, broadcast to the executors.
+    empty and gets no ids. Other columns, nulls and repeated rows pass through; if docs has a column of a new one's name,
+    the new one gets underscores in front. The vocabulary is a fixed table of the tokeniser, broadcast to the executors.
     """
     shared, name, at = docs.sparkSession.sparkContext.broadcast(ranks), free_name(docs, "ids"), docs.columns.index(text)
+    more = [free_name(docs, "decoded_sha256")] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
@@ -143,9 +145,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             got = [codec.encode(t or "") for t in part.column(at).to_pylist()]
             flat = np.concatenate([np.array(g, np.int32) for g in got])
             offsets = np.cumsum([0] + [len(g) for g in got]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], [*part.schema.names, name])
+            decoded = [pa.array([hashlib.sha256(codec.decode(g)).hexdigest() for g in got], pa.string()) for _ in more]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat)), *decoded], [*part.schema.names, name, *more])
 
-    return docs.mapInArrow(run, docs.select("*", F.array(F.lit(0)).alias(name)).schema)
+    return docs.mapInArrow(run, docs.select("*", F.array(F.lit(0)).alias(name), *[F.lit("").alias(m) for m in more]).schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids") -> DataFrame:

@@ -573,6 +573,19 @@ def test_pipeline(spark, sf, docs):
     assert sorted((r.doc_id, list(r.ids)) for r in got.select("doc_id", "ids").collect()) == sorted(clean)
 
 
+def test_pipeline_decodes_what_it_encodes(spark, sf):
+    import corpus_pipeline
+
+    odd = spark.createDataFrame([(d, t, None, None, None) for d, t in ODD], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    got = corpus_pipeline.STAGES[-1][1](spark, odd, sf).select("doc_id", "n_tokens", "decoded_sha256").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(key, got)) == sorted(key((d, len(ENC.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest())) for d, t in ODD)
+    wrong = bpe.encode(odd.where("doc_id = 4"), RANKS, public_tokenizers.PATTERN, digest=True).withColumn("text", F.lit("other"))
+    for column in ("ids", "decoded_sha256"):
+        with pytest.raises(Exception, match="ids do not decode to the text of document 4"):
+            corpus_pipeline.same_text(wrong).select(column).collect()
+
+
 def test_stages_keep_the_columns(spark, sf):
     import corpus_pipeline
 
