@@ -524,7 +524,7 @@ def repository_contents(spark, d):
     base = shared_path(spark, "repository")
     repo = Repository.create(spark, base, "password", Settings.lightweight())
     repo.store(objects(spark, d), "first", SLICE)
-    repo.store(objects(spark, d).limit(10), "second", SLICE)
+    repo.store(objects(spark, d), "second", SLICE)
     return repo.contents(1, ["src1*"], ["*/de/*"]).where("node_type = 'File'").select("path", "total_length")
 
 

@@ -32,3 +32,10 @@ def test_query(spark, sf, con, name):
 
 def test_names_are_registered_once():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+
+
+def test_both_snapshots_hold_the_whole_table(spark, sf, monkeypatch):
+    stored, real = [], catalogue.Repository.store
+    monkeypatch.setattr(catalogue.Repository, "store", lambda self, files, *more: stored.append(files.count()) or real(self, files, *more))
+    catalogue.QUERIES["repository_contents"](spark, sf)
+    assert stored == [spark.read.parquet(f"{sf}/documents.parquet").count()] * 2
