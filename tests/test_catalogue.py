@@ -39,3 +39,15 @@ def test_both_snapshots_hold_the_whole_table(spark, sf, monkeypatch):
     monkeypatch.setattr(catalogue.Repository, "store", lambda self, files, *more: stored.append(files.count()) or real(self, files, *more))
     catalogue.QUERIES["repository_contents"](spark, sf)
     assert stored == [spark.read.parquet(f"{sf}/documents.parquet").count()] * 2
+
+
+def test_every_setting_packs_every_object(spark, sf, tmp_path, monkeypatch):
+    """All twelve pairs meet all rows; rows without an id, without a text, and repeated ones come back each."""
+    data = [(1, "one"), (2, ""), (3, None), (None, "lost"), (None, "lost"), (4, "four")]
+    spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    packed, real = [], catalogue.codecs.pack
+    monkeypatch.setattr(catalogue.codecs, "pack", lambda o, key, c, n, e, *more: packed.append((c, e, o.count())) or real(o, key, c, n, e, *more))
+    got = catalogue.QUERIES["pack_unpack_roundtrip"](spark, str(tmp_path)).toPandas()
+    assert sorted(packed) == sorted((c, e, len(data)) for c in ("none", "zstd", "lz4", "xz") for e in ("none", "aes256ctr", "chacha20"))
+    want = duckdb.sql(catalogue.ORACLES["pack_unpack_roundtrip"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).df()
+    assert rows(got) == rows(want) and len(got) == len(data)
