@@ -4,6 +4,7 @@ import hashlib
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -416,23 +417,69 @@ def test_secret_randomness(spark):
     assert not any(s[1] == 3 for i in range(60, 260) for s in got[i])
 
 
-def test_battery(spark):
-    """The tests' statistics against numpy."""
-    token = "q8Zr+X0pLw3/VbNs71TgYhKcMdEoAiUj"
-    v = np.array([secret_scan.SYMBOLS.index(c) + 1 for c in token], float)
-    r = spark.createDataFrame([(token,)], "t string").select(secret_scan.battery(F.col("t")).alias("b")).first().b
-    n, chi = len(v), 64 / len(v) * sum(c * c for c in Counter(token).values()) - len(v)
-    even = max(0, (chi - 63) / np.sqrt(2 * 63 * (n - 1) / n))
-    h = v > 32
-    ones = h.sum()
-    mean = 2 * ones * (n - ones) / n + 1
-    runs = (1 + (h[1:] != h[:-1]).sum() - mean) / np.sqrt((mean - 1) * (mean - 2) / (n - 1))
+def brute_battery(token):
+    """(stratum, bin, random) with numpy."""
+    s = token.rstrip("=").translate({ord("-"): "+", ord("_"): "/"})
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+        s, alphabet = s.lower(), secret_scan.HEXDIGITS
+    else:
+        alphabet = secret_scan.BASE32 if re.fullmatch("[A-Z2-7]+", s) else secret_scan.SYMBOLS
+    k, n, v = len(alphabet), len(s), np.array([alphabet.index(c) + 1 for c in s], float)
+    chi, spread = k / n * sum(c * c for c in Counter(s).values()) - n, np.sqrt(2 * (k - 1) * (n - 1) / n)
+    h = v > k / 2
+    mean = 2 * h.sum() * (n - h.sum()) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = (1 + (h[1:] != h[:-1]).sum() - mean) / np.sqrt(var) if var > 0 else 99
     d = v - v.mean()
-    serial = ((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / (n - 1)) * np.sqrt(n)
-    assert r.random == (even**2 + runs**2 + serial**2 <= secret_scan.ACCEPT) and r.stratum == 5
-    excess = 64 * secret_scan.COINCIDENCE[64] - 1
-    z = (63 + (n - 1) * excess - chi) / np.sqrt(126 + 4 * (n - 1) * excess)
-    assert r.bin == int(10 * (z * z / 2 / np.log(10) + np.log10(z) + 0.39909))
+    serial = ((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / (n - 1)) * np.sqrt(n) if (d * d).sum() > 1e-6 else 99
+    t = max(0, (chi - (k - 1)) / spread) ** 2 + runs**2 + serial**2
+    more = (n - 1) * (k * secret_scan.COINCIDENCE[k] - 1)
+    z = (more - np.sqrt(t) * spread) / np.sqrt(2 * (k - 1) + 4 * more)
+    p = z * z / 2 / np.log(10) + np.log10(z) + 0.39909 if z > 1 else 0
+    return int(np.log2(n)), min(int(10 * p), secret_scan.BINS - 1), bool(t <= secret_scan.ACCEPT)
+
+
+def test_battery(spark):
+    """The tests' statistics against numpy: encodings, paddings, constant and short tokens, and some beyond a segment."""
+    rng = random.Random(9)
+    alphabets = (secret_scan.SYMBOLS, secret_scan.SYMBOLS[:-2] + "-_", secret_scan.HEXDIGITS, secret_scan.HEXDIGITS.upper(), secret_scan.BASE32, "abcdefg", "ab", "a")
+    tokens = ["".join(rng.choices(a, k=n)) + pad for a in alphabets for n in (16, 17, 33, 64, 4095, 4096, 4097, 4098, 9000) for pad in ("", "==")]
+    tokens += ["q8Zr+X0pLw3/VbNs71TgYhKcMdEoAiUj", "thequickbrownfoxjumpsoverthelazydog", "ab" * 40]
+    got = spark.createDataFrame(list(enumerate(tokens)), "i long, t string").repartition(4).select("i", secret_scan.battery(F.col("t")).alias("b")).collect()
+    assert {tokens[r.i]: (r.b.stratum, r.b.bin, r.b.random) for r in got} == {t: brute_battery(t) for t in tokens}
+
+
+def test_secret_spans_against_brute_force(spark, docs):
+    """All spans, those of the method included, of the documents and of some with keys of several lengths."""
+    rng = random.Random(11)
+    texts = [t for _, t, _ in docs] + [f"é {''.join(rng.choices(secret_scan.SYMBOLS, k=n))} and {t[:200]}" for n, (_, t, _) in zip([16, 20, 24, 32, 48, 64, 100] * 9, docs, strict=False)]
+    found = [[(m.start(), m.end(), *brute_battery(m[0])) for m in re.finditer(secret_scan.CANDIDATE, t or "", re.A)] for t in texts]
+    counts = Counter((stratum, b) for ms in found for *_, stratum, b, _ in ms)
+    least = secret_scan.thresholds([(*k, n) for k, n in counts.items()])
+    got, more = secrets(spark, texts), 0
+    for i, t in enumerate(texts):
+        spans = [(a, 3, e) for a, e, stratum, b, random_ in found[i] if random_ and stratum in least and b >= least[stratum]]
+        more += len(spans)
+        assert got[i] == sorted(brute_spans(t) + spans)
+    assert more > 20
+
+
+def test_secret_long_runs(spark):
+    """A megabyte of random symbols in one run, a megabyte of one symbol, and a hundred thousand candidates in a text."""
+    rng = random.Random(10)
+    run = "".join(rng.choices(secret_scan.SYMBOLS, k=1_000_000))
+    many = " ".join("".join(rng.choices("abcdefgh", k=16)) for _ in range(20_000)) + " token=abcdefgh12"
+    begun = time.time()
+    got = secrets(spark, [f"a {run} b", "x" * 1_000_000, many])
+    assert got[0] == [(2, 3, 1_000_002)] and got[1] == [] and [s for s in got[2] if s[1] < 3] == [(len(many) - 16, 0, len(many))]
+    assert time.time() - begun < 60
+
+
+def test_prefix_sums(spark):
+    for n in (0, 1, 31, 32, 33, 1023, 1024, 1025, 5000):
+        sizes = [(7 * i) % 11 for i in range(n)]
+        got = spark.createDataFrame([(sizes,)], "a array<long>").select(secret_scan.prefix_sums(F.col("a")).alias("p")).first().p
+        assert got == [sum(sizes[:i]) for i in range(n)] if n < 1100 else got[-1] == sum(sizes[:-1])
 
 
 def test_false_discovery_steps():
