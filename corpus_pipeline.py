@@ -13,6 +13,8 @@ from siltbed.llm import bpe, decontamination, language_id, line_dedup, simhash
 from siltbed.llm.common import checkpoint_dir, held_out
 from siltbed.llm.queries import RANKS
 
+#: Words of a benchmark window.
+WINDOW = 13
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,8 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; no document does. n_chars follows the text."""
-    return line_dedup.drop_frequent_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Lines found in ten documents or more go from all of these but the one with the least doc_id, so that the next stage
+    finds one whole copy of a text with many; no document goes. n_chars follows the text."""
+    return line_dedup.drop_frequent_lines(docs.select(*COLUMNS), keep_one=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth of the words or more go."""
+    """Documents with a passage of WINDOW words or more that stand in the benchmark go, however long they are, and so do
+    those of which benchmark windows (of short items too) cover a twentieth of the words or more."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontamination.find(docs.select(*COLUMNS), benchmark).where(~F.col("contaminated")).select(*COLUMNS)
+    found = decontamination.find(docs.select(*COLUMNS), benchmark, window=WINDOW)
+    passage = F.exists("hit_spans", lambda s: s["end"] - s["start"] >= WINDOW)
+    return found.where(~(F.col("contaminated") | passage)).select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,10 +157,16 @@ def test_bpe_joins_ordinary_documents(docs, monkeypatch):
     assert len(joined) > 0.85 * len(set(texts[:150]))
 
 
-def brute_lines(texts, least=10):
+def brute_lines(texts, least=10, keep_one=False):
+    """keep_one: texts are in the order of their keys, the first that holds a line keeps it."""
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
-    n = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
-    return [("\n".join(x for x in (t or "").split("\n") if n[key(x)] < least), len((t or "").split("\n"))) for t in texts]
+    n, first = Counter(), {}
+    for i, t in enumerate(texts):
+        for k in {key(x) for x in (t or "").split("\n")} - {""}:
+            n[k] += 1
+            first.setdefault(k, i)
+    stays = lambda i, k: n[k] < least or (keep_one and first[k] == i)
+    return [("\n".join(x for x in (t or "").split("\n") if stays(i, key(x))), len((t or "").split("\n"))) for i, t in enumerate(texts)]
 
 
 def test_line_dedup(spark, odd):
@@ -170,6 +176,12 @@ def test_line_dedup(spark, odd):
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_frequent_lines(df).collect()}
     for i, (text, n) in enumerate(brute_lines(texts)):
         assert got[i] == (text, n, n - len(text.split("\n")) if text or got[i][2] < n else n)
+    kept = {r.doc_id: r.text for r in line_dedup.drop_frequent_lines(df.repartition(3), keep_one=True).collect()}
+    assert kept == {i: t for i, (t, _) in enumerate(brute_lines(texts, keep_one=True))} != {i: t for i, (t, *_) in got.items()}
+    once = {(r.doc_id, r.text) for r in line_dedup.drop_frequent_lines(odd, min_docs=2, keep_one=True).collect()}
+    assert {(4, "one"), (None, ""), (7, "")} <= once  # of 4, 7 and a null key the least keeps the line, in both its rows
+    nulls = spark.createDataFrame([(None, "a\nb"), (None, "a\nc"), (None, None)], "doc_id long, text string")
+    assert {r.text for r in line_dedup.drop_frequent_lines(nulls, min_docs=2, keep_one=True).collect()} == {"a\nb", "a\nc", ""}
     out = kept_columns(odd, line_dedup.drop_frequent_lines(odd, min_docs=2))
     by = {(r.doc_id, r.text): r for r in out}
     assert len(out) == len(ODD) and by[(4, "")].n_dropped == 1  # `one` is in documents 4, 7 and one without a key
@@ -606,18 +618,41 @@ def test_pipeline(spark, sf, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "decontamination", "bpe"]
     bench = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
     kept = [(d, t) for d, t, _ in docs if t and language_id.LETTER.search(t)]
-    kept = [(d, t) for (d, _), (t, _) in zip(kept, brute_lines([t for _, t in kept]), strict=True)]
+    whole = dict(kept)
+    kept = [(d, t) for (d, _), (t, _) in zip(kept, brute_lines([t for _, t in kept], keep_one=True), strict=True)]
     comp = brute_components({d: brute_fingerprint(t) for d, t in kept})
     kept = [(d, t) for d, t in kept if comp[d] == d]
     matcher = decontamination.Matcher([(i, t.encode()) for i, t in bench], 13)
     clean = []
     for d, t in kept:
         w = decontamination.words_of(t.encode())
-        n = sum(b - a for a, b in matcher.search(w)[0])
-        if not (n and 20 * n >= len(w)):
+        hit = matcher.search(w)[0]
+        n = sum(b - a for a, b in hit)
+        if not (n and 20 * n >= len(w) or any(b - a >= 13 for a, b in hit)):
             clean.append((d, ENC.encode_ordinary(t)))
     got = corpus_pipeline.run(spark, sf)
-    assert sorted((r.doc_id, list(r.ids)) for r in got.select("doc_id", "ids").collect()) == sorted(clean)
+    got = sorted((r.doc_id, list(r.ids)) for r in got.select("doc_id", "ids").collect())
+    assert got == sorted(clean) and any(ENC.decode(ids) == whole[d] for d, ids in got)
+    for d, ids in got:  # no document that is kept holds a passage of the benchmark
+        assert not any(b - a >= 13 for a, b in matcher.search(decontamination.words_of(ENC.decode(ids).encode()))[0])
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, sf):
+    """Forty copies, exact and near, of one text leave one whole copy; a passage of the benchmark in a long text goes."""
+    import corpus_pipeline
+
+    bench = duckdb.sql(f"select text from '{sf}/benchmark.parquet' limit 1").fetchall()[0][0]
+    words = random.Random(2)
+    prose = lambda n: " ".join("".join(words.choices("etaoinshrdlu", k=5)) for _ in range(n))
+    copied = "\n".join(prose(12) for _ in range(9))
+    texts = [copied] * 30 + [copied + "\nand one more"] * 10 + [prose(2000) + " " + bench + " " + prose(2000), prose(300)]
+    docs = spark.createDataFrame([(i + 5, t, "en", "s", len(t)) for i, t in enumerate(texts)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, sf).checkpoint()
+        if name == "simhash_near_dedup":
+            assert {r.doc_id: r.text for r in docs.collect() if len(r.text) > 20}.keys() == {5, 45, 46}
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert left[5] == copied and left[46] == texts[-1] and 45 not in left
 
 
 def test_pipeline_decodes_what_it_encodes(spark, sf):
