@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -375,6 +376,24 @@ def test_wu_manber_against_all_positions():
             assert {p for a, b in hit for p in range(a, b)} == want and items == found
 
 
+def test_wu_manber_buckets():
+    """Ten thousand patterns of one bucket, and repeated ones, are found by comparing a few."""
+    bench = [(i, f"question {i} of which of the following words is the one that holds".encode()) for i in range(10_000)] + [(-1, b"Question 7 of which of the following words is the one that holds!")]
+    m = decontamination.Matcher(bench, 13)
+    (p,) = m.passes.values()
+    assert len(p.bucket) == 1 and max(map(len, next(iter(p.bucket.values())).values())) == 1
+    text = decontamination.words_of(b"question 7 of which of the following words is the one that holds question 77777 of which of the following words is the one that holds")
+    assert m.search(text) == ([(0, 13)], {7, -1})
+
+
+def test_slabs_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(decontamination, "SLAB_BYTES", 1000)
+    texts = [None, "x" * 5000, "", *["y" * 300] * 20, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    parts = list(decontamination.slabs(iter([batch, batch.slice(0, 0)]), 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts))) and len(parts) > 5
+
+
 def test_decontamination_blocks_and_odd_input(spark, sf, odd):
     bench = spark.createDataFrame([(1, "ONE"), (2, None), (None, "12, 34"), (1, "one"), (10, "very long text"), (9, "ÇÖDÉ ..")], "item_id long, text string")
     out = {(r.doc_id, r.text): r for r in kept_columns(odd, decontamination.find(odd, bench))}
@@ -384,6 +403,8 @@ def test_decontamination_blocks_and_odd_input(spark, sf, odd):
     docs, real = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     split = decontamination.find(docs, real, block_bytes=1500).collect()
     assert sorted(split) == sorted(decontamination.find(docs, real).collect()) and any(r.n_hit for r in split)
+    tiny = decontamination.find(docs, real, block_bytes=200)
+    assert tiny._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and sorted(tiny.collect()) == sorted(split)
     assert not any(r.contaminated for r in decontamination.find(odd, bench.limit(0)).collect())
     assert decontamination.find(odd.limit(0), bench).count() == 0
 
