@@ -48,6 +48,8 @@ class Search:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
         self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        #: Products of components that were computed, and those that a plain scan would take.
+        self.computed = self.plain = 0
 
     def add(self, rows: np.ndarray, x: np.ndarray) -> None:
         width = max(x.shape[1], self.queries.shape[1])
@@ -73,6 +75,8 @@ class Search:
             n = max(int(np.argmax(left < floor)) if (left < floor).any() else len(order), min(PROBE, len(order)))
         at = order[:n]
         score, alive = q[at] @ columns[at], None
+        self.computed += n * len(rows)
+        self.plain += len(order) * len(rows)
         while True:
             if floor is not None:
                 keep = np.flatnonzero(score + left[n] >= floor)
@@ -82,6 +86,7 @@ class Search:
             at = order[n : n + PROBE]
             score = score + (q[at] @ columns[at] if alive is None else q[at] @ columns[np.ix_(at, alive)])
             n += len(at)
+            self.computed += len(at) * len(score)
         found = rows if alive is None else rows[alive]
         other = found != self.ids[i]
         score, found = np.concatenate([scores, score[other]]), np.concatenate([ids, found[other]])
@@ -94,22 +99,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 6
     smaller id.
 
     Null vectors, null keys, and vectors with null or non-finite components take no part. Rows with a query's own key
-    are not among its results; other repeated rows come back each. Vectors of different lengths count as filled up with
-    zeros. An empty table of either kind gives an empty result. Queries are broadcast in blocks of QUERY_BLOCK rows; each
-    block takes one pass over the vectors, a task keeps k rows a query, and only those are shuffled.
+    are not among its results; other repeated rows come back each. Query rows of one key are one query: their results are
+    ranked together, and what several of them find comes back for each. Vectors of different lengths count as filled up
+    with zeros. An empty table of either kind gives an empty result. Queries are broadcast in blocks of QUERY_BLOCK rows;
+    each block takes one pass over the vectors, a task keeps k rows a query, and only those are shuffled. Blocks go one
+    after another, so that the driver and the workers hold one block at a time.
     """
     clean = lambda d: d.where(F.col(key).isNotNull() & valid(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows, parts = clean(vectors), []
-    for ids, block in _blocks(clean(queries), scale):
-        if len(parts) == 1:
-            parts = [cut(parts[0])]
-        parts.append(_pass(rows, ids, block, k, scale) if not parts else cut(_pass(rows, ids, block, k, scale)))
-    if not parts:
-        parts = [_pass(rows.limit(0), np.zeros(0, np.int64), np.zeros((0, 0)), k, scale)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    rows, parts, before = clean(vectors), [], None
+    for block in _blocks(clean(queries), scale):
+        if before is not None:
+            parts.append(cut(_ranked(_pass(rows, *before, k, scale), k)))
+        before = block
+    last = _pass(rows, *before, k, scale) if before is not None else rows.limit(0).select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"))
+    for p in parts:
+        last = last.unionByName(p.drop("rank"))
+    return _ranked(last, k)
+
+
+def _ranked(best: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _blocks(queries: DataFrame, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -142,6 +152,4 @@ def _pass(rows: DataFrame, ids: np.ndarray, block: np.ndarray, k: int, scale: fl
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array([q] * len(found), pa.int64()), pa.array(found, pa.int64()), pa.array([int(x) for x in scores], pa.int64())], ["query_id", "vec_id", "score"])
 
-    best = rows.mapInArrow(run, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long")

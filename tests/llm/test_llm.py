@@ -228,6 +228,30 @@ def test_topk_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, topk.search(df, df, 5).collect()))
     monkeypatch.setattr(topk, "QUERY_BLOCK", 70)
     assert sorted(map(tuple, topk.search(df, df, 5).collect())) == want
+    # repeated query ids, with equal and with other vectors, lie in different blocks and are ranked together
+    base = [(i, rng.integers(-5, 5, 8).astype(float).tolist()) for i in range(30)]
+    twice = spark.createDataFrame([*base[:10], (0, base[0][1]), (4, base[20][1]), *base[:3]], df.schema).coalesce(1)
+    rows_ = spark.createDataFrame([*base, base[5]], df.schema)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    con = duckdb.connect()
+    con.sql("create table q as select * from (values " + ", ".join(f"({i}, {v})" for i, v in map(tuple, twice.collect())) + ") t(id, v)")
+    con.sql("create table c as select * from (values " + ", ".join(f"({i}, {v})" for i, v in map(tuple, rows_.collect())) + ") t(id, v)")
+    sql = """with s as (select q.id a, c.id b, list_inner_product(q.v, c.v)::bigint s from q join c on q.id <> c.id)
+             select a, r, b, s from (select *, row_number() over (partition by a order by s desc, b) r from s) where r <= 5"""
+    assert sorted(map(tuple, topk.search(rows_, twice, 5, 1.0).collect())) == sorted(con.sql(sql).fetchall())
+
+
+def test_topk_prunes():
+    """Vectors with a few large components: bounds leave most products out, and the result is that of a plain scan."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(3000, 64)) * np.where(np.arange(64) < 8, 60, 2))
+    s = topk.Search(np.arange(20), x[:20], 10)
+    for at in range(0, 3000, 500):
+        s.add(np.arange(at, at + 500), x[at : at + 500])
+    for i in range(20):
+        score = x @ x[i]
+        assert s.best[i][1].tolist() == sorted((j for j in range(3000) if j != i), key=lambda j: (-score[j], j))[:10]
+    assert s.computed < 0.7 * s.plain
 
 
 def test_topk_beyond_doubles():
