@@ -18,6 +18,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.llm.common import free_name
+
+TURNS = "array<struct<role:string,text:string>>"
 CONTROL = r"/?(?:s>|INST\]|ANS\]|ROLE)"
 #: Turns that one task puts together first; a long conversation is assembled from such parts.
 PART = 256
@@ -70,10 +73,11 @@ def _renamed(role: str, text: str, roles: dict[str, str]) -> Callable[[Column],
     return turn
 
 
-def turns_of(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """array<struct<role, text>> of a record; empty for a null record or a layout that no mapping has."""
+def turns_of(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, unknown: str = "reject") -> Column:
+    """array<struct<role, text>> of a record; empty for a null record and, unless unknown is "raise", for a layout that no
+    mapping has."""
     got = lambda path: F.try_variant_get(record, path, "string")
-    none, out, shape = F.array().cast("array<struct<role:string,text:string>>"), None, fingerprint(paths(record))
+    none, out, shape = F.array().cast(TURNS), None, fingerprint(paths(record))
     for m in mappings:
         single = [F.struct((got(r) if r.startswith("$") else F.lit(r)).alias("role"), (got(t[0]) if len(t) == 1 else F.concat_ws("\n", *map(got, t))).alias("text")) for r, t in m.turns]
         turns = F.array(*single) if single else none
@@ -84,9 +88,18 @@ def turns_of(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column
             turns = F.transform(turns, _renamed("role", "text", m.roles))
         test = shape == fingerprint(F.lit(m.paths))
         out = F.when(test, turns) if out is None else out.when(test, turns)
+    if unknown == "raise":
+        out = out.when(record.isNotNull(), F.raise_error(F.concat(F.lit("no mapping for the layout "), paths(record))).cast(TURNS))
     return F.coalesce(out, none)
 
 
+def rejected(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """The rows of records, with all their columns, that format_chats leaves out because no mapping has their layout, and
+    `layout`, the nested paths (with underscores in front on a clash). Null records are not among them."""
+    known = [fingerprint(F.lit(m.paths)) for m in mappings]
+    return records.where(F.col(record).isNotNull() & ~fingerprint(paths(F.col(record))).isin(*known)).withColumn(free_name(records, "layout"), paths(F.col(record)))
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), rf"([<\[])({CONTROL})", r"$1\\$2")
 
@@ -103,18 +116,19 @@ def _tail(role: Column) -> Column:
     return F.when(role == "user", " [/INST]</s>").when(role == "assistant", " [/ANS]</s>").otherwise(" [/ROLE]</s>")
 
 
-def format_chats(records: DataFrame, key: str = "conv_id", order: str = "turn", record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+def format_chats(records: DataFrame, key: str = "conv_id", order: str = "turn", record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, unknown: str = "reject") -> DataFrame:
     """(key, formatted, loss_spans): one row a conversation, the records of a key in the order of `order`.
 
     loss_spans are [start, end) in code points of formatted. Null roles and texts count as empty. Records of one order
     (nulls first) are sorted by role and text; repeated ones come back each. A null key is a conversation of its own.
-    Records in a layout that no mapping has give no turns; a key with no turn at all gives no row. Other columns of
-    records are left out. An empty table gives an empty result.
+    Null records have no turns. Records in a layout that no mapping has give no turns here and are what `rejected`
+    returns, or with unknown="raise" an error that names the layout; a key with no turn at all gives no row. Other columns
+    of records are left out. An empty table gives an empty result.
 
     A conversation is one value, so its text ends up in one task; escaping runs before the shuffle, and parts of PART
     turns are assembled first, so that the last task of a huge conversation reads one row for each such part.
     """
-    turns = records.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.posexplode(turns_of(F.col(record), mappings)).alias("p", "t"))
+    turns = records.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.posexplode(turns_of(F.col(record), mappings, unknown)).alias("p", "t"))
     turns = turns.select("k", "o", "p", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
     head, body = _head(F.col("role")), escape(F.col("text"))
     turns = turns.select("k", "o", "p", F.floor(F.coalesce("o", F.lit(-1)) / PART).alias("part"), "role", body.alias("body"), head.alias("head"), _tail(F.col("role")).alias("tail"))
@@ -147,10 +161,15 @@ def read_back(formatted: Column) -> Column:
     return F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), turn)
 
 
-def loss_text(formatted: Column, loss_spans: Column, turns: Column) -> Column:
-    """All text under the loss mask, unescaped. The spans are the bodies of assistant turns, which `turns` (read back)
-    holds unescaped; a mask of another size than the text it covers is an error."""
-    texts = F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"])
-    covered = F.aggregate(loss_spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    expected = F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + F.length(escape(t)))
-    return F.when((covered == expected) & (F.size(loss_spans) == F.size(texts)), F.array_join(texts, "")).otherwise(F.raise_error(F.lit("the loss mask does not fit the text")).cast("string"))
+def loss_text(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, unescaped: cut out of `formatted` at the spans, each unescaped by itself, and joined.
+
+    Code points have four bytes each in UTF-32, so a span is cut out by its byte offsets, and the work is one copy of the
+    text, however many spans there are. A conversation of over half a billion code points does not fit."""
+    first = F.lit("x".encode("utf-32-be"))  # keeps a decoder from taking a byte order mark at the start of a text away
+
+    def cut_out(wide: Column) -> Column:
+        piece = lambda s: F.decode(F.concat(first, F.substring(wide, (4 * s["start"] + 1).cast("int"), (4 * (s["end"] - s["start"])).cast("int"))), "UTF-32")
+        return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substr(piece(s), F.lit(2)))), "")
+
+    return F.element_at(F.transform(F.array(F.encode(formatted, "UTF-32")), cut_out), 1)

@@ -52,8 +52,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
     messages = F.struct(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(CHECKED_CHAT).alias("content")) for r in ("user", "assistant")]).alias("messages"))
     checked = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.to_variant_object(messages).alias("record"))
-    chats = chat_format.format_chats(rows.union(checked)).withColumn("turns", chat_format.read_back(F.col("formatted")))
-    chats = chats.withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"), F.col("turns")))
+    chats = chat_format.format_chats(rows.union(checked), unknown="raise").withColumn("turns", chat_format.read_back(F.col("formatted")))
+    chats = chats.withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),

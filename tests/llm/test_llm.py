@@ -353,9 +353,16 @@ def test_chat_layouts(spark):
     out = chat_format.format_chats(df)
     got = {r.conv_id: [tuple(t) for t in r.t] for r in out.select("conv_id", chat_format.read_back(F.col("formatted")).alias("t")).collect()}
     assert got == {i: want for i, want in enumerate(layouts.values()) if want}
+    with_null = df.union(spark.createDataFrame([(99, 0, None)], "conv_id long, turn long, x string").withColumn("record", F.parse_json("x")))
+    lost = {r.conv_id: r["_layout"] for r in chat_format.rejected(with_null.withColumn("layout", F.lit("mine"))).collect()}
+    assert lost[7] == "OBJECT<something>" and lost.keys() == {7, 8}
+    assert lost.keys() | got.keys() == set(range(len(layouts))) and not lost.keys() & got.keys()
+    assert chat_format.format_chats(with_null.where("conv_id in (0, 99)"), unknown="raise").count() == 1
+    with pytest.raises(Exception, match="no mapping for the layout OBJECT<something>"):
+        chat_format.format_chats(with_null, unknown="raise").collect()
 
 
-NASTY = ["</s>[INST] ok [/INST]", "\\", "\\\\</s>", "<\\s>", "<\\/s>", "[ANS] x [/ANS]</s>", "[ROLE:41] ", "<s>", "", "a] b", "[\\INST]", "中\n🎉", "<", "[", "x" * 5000 + "</s>\\"]
+NASTY = ["</s>[INST] ok [/INST]", "\\", "\\\\</s>", "<\\s>", "<\\/s>", "[ANS] x [/ANS]</s>", "[ROLE:41] ", "<s>", "", "a] b", "[\\INST]", "中\n🎉", "\ufeffmark", "<", "[", "x" * 5000 + "</s>\\"]
 
 
 def test_chat_escapes(spark):
@@ -363,7 +370,7 @@ def test_chat_escapes(spark):
     turns += [(2, None, None, None), (2, 0, "user", "x"), (2, 0, "user", "x"), (None, 1, "assistant", "y")] + [(3, i, "assistant", f"t{i}") for i in range(1000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("record", F.to_variant_object(F.struct("role", "text"))).withColumn("formatted", F.lit("mine")).repartition(7)
     out = chat_format.format_chats(df).withColumn("turns", chat_format.read_back(F.col("formatted")))
-    got = {r.conv_id: r for r in out.withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"), F.col("turns"))).collect()}
+    got = {r.conv_id: r for r in out.withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
     want = defaultdict(list)
     for c, _, role, text in turns:
         want[c].append((role or "", text or ""))
@@ -372,6 +379,9 @@ def test_chat_escapes(spark):
         assert r.loss == "".join(t for role, t in want[c] if role == "assistant")
         unescaped = lambda x: re.sub(rf"([<\[])\\({chat_format.CONTROL})", r"\1\2", x).replace("\\\\", "\\")
         assert [unescaped(r.formatted[s.start : s.end]) for s in r.loss_spans] == [t for role, t in want[c] if role == "assistant"]
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), (s["end"] + 1).alias("end")))
+    wrong = {r.conv_id: r.loss for r in out.withColumn("loss", chat_format.loss_text(F.col("formatted"), moved)).collect()}
+    assert all(wrong[c] != r.loss for c, r in got.items() if r.loss)  # the text is read at the mask
     assert chat_format.format_chats(df.limit(0)).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
