@@ -1,14 +1,16 @@
 """Quality by hierarchical empirical Bayes: document evidence, shrunk host and path posteriors.
 
-Evidence of a document: log-likelihood ratios of its features' bins, learned by grouped counts over labelled documents
-and calibrated in the sum. Host and path posteriors: means of the documents' evidence posteriors, other documents only,
-shrunk to the level above (path to host, host to the global prior) with a strength estimated from the spread between
-groups, so that sparse sites lean on the prior. The score is the path posterior updated by the document's evidence.
+Evidence of a document: log-likelihood ratios of its features' bins, whose edges are quantiles of the labelled documents
+and whose ratios are learned by grouped counts over them, calibrated in the sum. Host and path posteriors: means of the
+documents' evidence posteriors, other documents only, shrunk to the level above (path to host, host to the global prior)
+with a strength estimated from the spread between groups, so that sparse sites lean on the prior. The score is the path
+posterior updated by the document's evidence.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -16,16 +18,27 @@ from pyspark.sql import functions as F
 
 from siltbed.llm.common import cut
 
-#: Upper ends of the bins of each feature.
-BINS = {
-    "f_word": (2.0, 3.5, 4.2, 4.6, 4.8, 5.0, 5.2, 5.5, 6.0, 7.0, 9.0),
-    "f_symbol": (0.0, 0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4),
-    "f_unique": (0.05, 0.15, 0.3, 0.45, 0.55, 0.62, 0.7, 0.8, 0.9, 0.99),
-    "f_upper": (0.004, 0.01, 0.02, 0.04, 0.1, 0.3, 0.6),
-    "f_digit": (0.0, 0.002, 0.01, 0.03, 0.1, 0.3),
-    "f_stop": (0.002, 0.008, 0.014, 0.018, 0.022, 0.026, 0.032, 0.05),
-    "f_line": (0.05, 0.2, 0.5, 0.8, 0.95, 0.999),
-}
+FEATURES = ("f_word", "f_symbol", "f_unique", "f_upper", "f_digit", "f_stop", "f_line")
+#: Bins of a feature at most, with equal shares of the labelled documents.
+BINS = 16
+
+
+@dataclass(frozen=True)
+class Model:
+    """edges[feature]: upper ends of its bins but the last. ratios[feature][bin]: ln P(bin | good) / P(bin | bad). A curve
+    with slope and intercept over their sum, and the share of good documents."""
+
+    edges: list[list[float]]
+    ratios: list[list[float]]
+    slope: float
+    intercept: float
+    prior: float
+
+
+def site_of(url: Column) -> tuple[Column, Column]:
+    """(host, path): the host of a URL in lower case, and the first segment of its path; null where there is none."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    return host, F.nullif(F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/+([^/]+)/", 1), F.lit(""))
 
 
 def features(text: Column) -> dict[str, Column]:
@@ -49,31 +62,36 @@ def features(text: Column) -> dict[str, Column]:
     }
 
 
-def bin_of(name: str, value: Column) -> Column:
-    """A sum of comparisons: in a lambda function the value would be computed anew for each end."""
-    parts = [(value > end).cast("int") for end in BINS[name]]
-    return sum(parts[1:], parts[0])
-
-
 def featured(docs: DataFrame, key: str = "doc_id", host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
-    """(key, host, path, bins): one small row a document. Null hosts and paths are a group of their own."""
+    """(key, host, path, values): one small row a document, values in the order of FEATURES. Null hosts and paths are a
+    group of their own."""
     f = features(F.col(text))
-    values = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), *[v.alias(k) for k, v in f.items()])
-    return values.select("key", "host", "path", F.array(*[bin_of(k, F.col(k)) for k in BINS]).alias("bins"))
+    site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((host, "host"), (path, "path"))]
+    return docs.select(F.col(key).alias("key"), *site, F.array(*[f[k].cast("double") for k in FEATURES]).alias("values"))
+
 
+def bins(edges: list[list[float]]) -> Column:
+    """The bin of each feature: how many edges its value is beyond."""
+    beyond = lambda i, ends: sum(((F.element_at("values", i + 1) > e).cast("int") for e in ends), F.lit(0))
+    return F.array(*[beyond(i, ends) for i, ends in enumerate(edges)])
 
-def learn(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[list[list[float]], float, float, float]:
-    """(ratios[feature][bin], slope, intercept, prior) from labelled rows (label `quality` 0 or 1).
 
-    The counts are of fixed size (features x bins x labels); so are the sums of the calibration, three numbers a step.
-    Null labels and keys do not take part; a document with labels of both kinds counts as good.
+def learn(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
+    """The model of labelled rows (label `quality` 0 or 1).
+
+    Quantiles and counts are of fixed size (features x bins x labels); so are the sums of the calibration, three numbers a
+    step. Null labels and keys do not take part; a document with labels of both kinds counts as good.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("quality").alias("y"))
-    known = cut(rows.join(marked, "key").select("bins", "y"))
+    known = cut(rows.join(marked, "key").select("values", "y"))
+    steps = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    found = known.agg(*[F.percentile_approx(F.element_at("values", i + 1), steps, F.lit(10_000)).alias(k) for i, k in enumerate(FEATURES)]).first()
+    edges = [sorted(set(x or [])) for x in found]
+    known = cut(known.select("y", bins(edges).alias("bins")))
     counts = known.select("y", F.posexplode("bins").alias("f", "b")).groupBy("f", "b", "y").count().collect()
     total = {y: sum(r["count"] for r in counts if r["y"] == y and r["f"] == 0) for y in (0, 1)}
     ratios = []
-    for f, ends in enumerate(BINS.values()):
+    for f, ends in enumerate(edges):
         n = {(r["b"], r["y"]): r["count"] for r in counts if r["f"] == f}
         size = len(ends) + 1
         share = lambda b, y: (n.get((b, y), 0) + 0.5) / (total[y] + 0.5 * size)  # noqa: B023, E731
@@ -84,7 +102,7 @@ def learn(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[list
     if total[0] and total[1]:
         s = known.select("y", evidence(ratios).alias("s")).groupBy(F.round("s", 1).alias("s")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
         slope, intercept = _logistic([(r["s"], r["y"], r["n"]) for r in s], prior)
-    return ratios, slope, intercept, prior
+    return Model(edges, ratios, slope, intercept, prior)
 
 
 def _logistic(points: list[tuple[float, int, int]], prior: float) -> tuple[float, float]:
@@ -123,7 +141,7 @@ def strength(groups: DataFrame, prior: str, least: float = 1.0, most: float = 10
     return most if between <= 0 else min(most, max(least, within / between))
 
 
-def score(docs: DataFrame, model: tuple, key: str = "doc_id", host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
     """(key, evidence, host_posterior, path_posterior, score, predicted) of each row of docs.
 
     Site sums are grouped aggregates with partial sums, so a host with a third of all rows costs one row a task before
@@ -134,10 +152,9 @@ def score(docs: DataFrame, model: tuple, key: str = "doc_id", host: str = "sourc
     return _score(featured(docs, key, host, path, text), model, key)
 
 
-def _score(rows: DataFrame, model: tuple, key: str) -> DataFrame:
-    ratios, slope, intercept, prior = model
-    base = float(math.log(prior / (1 - prior)))
-    rows = rows.withColumn("e", evidence(ratios) * slope + intercept)
+def _score(rows: DataFrame, model: Model, key: str) -> DataFrame:
+    prior, base = model.prior, float(math.log(model.prior / (1 - model.prior)))
+    rows = rows.withColumn("bins", bins(model.edges)).withColumn("e", evidence(model.ratios) * model.slope + model.intercept)
     rows = cut(rows.select("key", "host", "path", "e", (1 / (1 + F.exp(-(F.col("e") + base)))).alias("p")))
     paths = cut(rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"), F.count("*").cast("double").alias("n")))
     hosts = cut(paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")).withColumn("up", F.lit(prior)))
@@ -155,6 +172,12 @@ def _score(rows: DataFrame, model: tuple, key: str) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
-    """Learn from the labelled rows among docs, then `score` all: the features of a text are computed once."""
+    """Learn from the labelled rows among docs, then `score` all: the features of a text are computed once.
+
+    Returns the columns that `score` names and no others of docs, so none can clash. Null and empty texts have zero
+    features; null hosts and paths are a group of their own; null keys are scored and learn nothing; repeated rows come
+    back each and count each; a label of a repeated key counts for each of its rows. Ties in a feature share a bin. Whole
+    texts of any length are read. Without labels every document has the evidence of none; an empty table gives an empty
+    result."""
     rows = cut(featured(docs, key, host, path, text))
     return _score(rows, learn(rows, labels, key), key)

@@ -97,10 +97,39 @@ def test_toxicity_keeps_the_odds_of_all_labels(spark, monkeypatch):
     assert one.prior > 0.99 and not one.trained
 
 
-def test_kneser_ney_is_a_distribution():
-    kn = toxicity.KneserNey([b"the cat sat on the mat " * 5], [b"the rat bit the idiot " * 5])
-    ratio = kn.tables.values.reshape(-1, toxicity.SIZE)
-    assert np.isfinite(ratio).all() and ratio.min() < 0 < ratio.max()
+def test_kneser_ney_probabilities():
+    """Every stored ratio against interpolated Kneser-Ney written out, whose probabilities sum to one."""
+    texts = [[b"the cat sat on the mat, the end 42", b"a cat"], [b"the rat bit the idiot!", b"", b"idiot \xc3\xa9"]]
+    kn = toxicity.KneserNey(*texts)
+    size, order, d, table = toxicity.SIZE, toxicity.ORDER, toxicity.DISCOUNT, toxicity.symbol_table()
+    streams = [tuple(table[np.frombuffer(b"    " + b"    ".join(ts) + b"    ", np.uint8)].tolist()) for ts in texts]
+    runs = lambda s, n: [s[i : i + n] for i in range(len(s) - n + 1)]
+
+    def counts(c, k):
+        """Of runs of k + 1 symbols: how often they occur, or for short ones after how many symbols; the shortest shared."""
+        if k == order:
+            return Counter(runs(streams[c], k + 1))
+        classes = (0, 1) if k < toxicity.SHARED_BELOW else (c,)
+        return Counter(x[1:] for x in {x for i in classes for x in runs(streams[i], k + 2)})
+
+    every = [[counts(c, k) for k in range(order + 1)] for c in (0, 1)]
+
+    def p(c, context, s):
+        if context is None:
+            return 1 / size
+        n = {x[-1]: v for x, v in every[c][len(context)].items() if x[:-1] == context}
+        below = p(c, context[1:] if context else None, s)
+        total = sum(n.values())
+        return max(n.get(s, 0) - d, 0) / total + d * len(n) / total * below if total else below
+
+    ratio, seen = kn.tables.values.reshape(-1, size), set()
+    for context in {x[:order] for s in streams for x in runs(s, order + 1)} | {(1, 2, 3, 4), (0, 0, 20, 8)}:
+        both = np.array([[p(c, context, s) for s in range(size)] for c in (0, 1)])
+        assert np.allclose(both.sum(1), 1)
+        at = int(kn.tables.index[sum(x * size ** (order - 1 - i) for i, x in enumerate(context))])
+        seen.add(at)
+        assert np.allclose(ratio[at], np.log(both[1] / both[0]), atol=1e-4)
+    assert len(seen) > 50
 
 
 # 2
@@ -574,6 +603,70 @@ def test_quality(spark, sf, odd):
     assert quality.classify(docs, none).count() == len(ODD) and quality.classify(docs.limit(0), none).count() == 0
 
 
+def brute_features(text):
+    t = text or ""
+    n, marks = max(len(t), 1), Counter(t)
+    count = lambda chars: sum(marks[c] for c in chars)
+    words, lines = [w for w in re.split("[ \t\n\r]", t.lower()) if w], t.split("\n")
+    upper, digits = "".join(map(chr, range(65, 91))), "0123456789"
+    return [
+        (len(t) - count(" \t\n\r")) / max(len(words), 1), count("%*$&#|@!{}<>^~=_\\") / n, len(set(words)) / max(len(words), 1),
+        count(upper) / n, count(digits) / n, count(".,;:?") / n, len(set(lines)) / len(lines),
+    ]
+
+
+def test_quality_against_brute_force(spark):
+    """Features, bins, evidence, the strength of either level, and both shrunk posteriors, written out."""
+    docs = duckdb.sql("select doc_id, text, source, lang from '/root/testdata/sf0.01/documents.parquet' order by doc_id limit 400").fetchall()
+    docs += [(10_001, None, None, None), (10_002, "", "src1", "en"), (10_002, "", "src1", "en"), (None, "Some words, 12.", "only", None), (10_003, "A very long line. " * 20_000, "src1", "en")]
+    labels = duckdb.sql("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchall() + [(None, 1), (3, None)]
+    df = spark.createDataFrame([(*d, 1.0, "x") for d in docs], "doc_id long, text string, source string, lang string, score double, values string").repartition(3)
+    rows_ = quality.featured(df)
+    model = quality.learn(rows_, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert len(model.edges) == 7 and all(len(r) == len(e) + 1 <= quality.BINS for e, r in zip(model.edges, model.ratios, strict=True))
+    known, values = {d: q for d, q in labels if d is not None and q is not None}, [brute_features(t) for _, t, _, _ in docs]
+    place = lambda v: [sum(x > e for e in ends) for x, ends in zip(v, model.edges, strict=True)]
+    marked = [(place(v), known[d[0]]) for d, v in zip(docs, values, strict=True) if d[0] in known]
+    total = Counter(y for _, y in marked)
+    for f, r in enumerate(model.ratios):
+        n = Counter((b[f], y) for b, y in marked)
+        want = [np.log((n[i, 1] + 0.5) / (total[1] + 0.5 * len(r)) / ((n[i, 0] + 0.5) / (total[0] + 0.5 * len(r)))) for i in range(len(r))]
+        assert np.allclose(r, want)
+    assert model.prior == (total[1] + 1) / (total[0] + total[1] + 2)
+    base = np.log(model.prior / (1 - model.prior))
+    e = np.array([model.slope * sum(r[b] for r, b in zip(model.ratios, place(v), strict=True)) + model.intercept for v in values])
+    p = 1 / (1 + np.exp(-(e + base)))
+    hosts, sites = [d[2] or "" for d in docs], [(d[2] or "", d[3] or "") for d in docs]
+
+    def shrink(groups, up):
+        """(strength, sums, sizes) of groups whose level above has the posteriors `up`."""
+        s, q, n = Counter(), Counter(), Counter(groups)
+        for g, x in zip(groups, p, strict=True):
+            s[g] += x
+            q[g] += x * x
+        many = [g for g in n if n[g] > 1]
+        within = max(sum(q[g] - s[g] ** 2 / n[g] for g in many) / sum(n[g] - 1 for g in many), 1e-9)
+        between = (sum(n[g] * (s[g] / n[g] - up(g)) ** 2 for g in many) - len(many) * within) / sum(n[g] for g in many)
+        return (1000.0 if between <= 0 else min(1000.0, max(1.0, within / between))), s, n
+
+    kh, hs, hn = shrink(hosts, lambda g: model.prior)
+    kp, ps, pn = shrink(sites, lambda g: (hs[g[0]] + kh * model.prior) / (hn[g[0]] + kh))
+    want = []
+    for d, h, g, x, own in zip(docs, hosts, sites, e, p, strict=True):
+        host = min(0.999, max(0.001, (hs[h] - own + kh * model.prior) / (hn[h] - 1 + kh)))
+        path = min(0.999, max(0.001, (ps[g] - own + kp * host) / (pn[g] - 1 + kp)))
+        want.append((-1 if d[0] is None else d[0], x, host, path, 1 / (1 + np.exp(-(x + np.log(path / (1 - path)))))))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.evidence, r.host_posterior, r.path_posterior, r.score) for r in quality.score(df, model).collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=2e-6) and len(got) == len(docs)
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://Example.org:8080/a/b?c=d#e", "http://example.org", "http://example.org/page.html", "not a url", None, "http://h//x/y"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    host, path = quality.site_of(F.col("u"))
+    assert [tuple(r) for r in df.select(host, path).collect()] == [("example.org", "a"), ("example.org", None), ("example.org", None), (None, None), (None, None), ("h", "x")]
+
+
 def test_quality_shrinks_sparse_sites(spark):
     """A site of one document leans on the prior; a large bad one on its own documents."""
     rows = [(i, "Good words make a calm text, with order. " * 5, f"good{i % 20}", "a") for i in range(400)] + [(i, "BAD!! %%% " * 30, "bad", "a") for i in range(400, 500)]
