@@ -1,4 +1,4 @@
-"""Command line: new, store, list, contents, extract, verify, scrub, bench-crypto."""
+"""Command line: new, store, list, contents, extract, verify, scrub, break-lock, bench-crypto."""
 
 from __future__ import annotations
 
@@ -39,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "extract":
             c.add_argument("target")
             c.add_argument("--preview", action="store_true")
+    lock = sub.add_parser("break-lock")
+    lock.add_argument("repo")
+    lock.add_argument("--older-than", type=float, default=3600)
     sub.add_parser("bench-crypto").add_argument("--rounds", type=int, default=100)
     return p
 
@@ -56,6 +59,8 @@ def main(argv: list[str] | None = None) -> int:
     repo = Repository.open(spark, a.repo, a.password)
     if a.command == "store":
         print(repo.store(scan_files(spark, a.target), a.name))
+    elif a.command == "break-lock":
+        print("broken" if repo.break_lock(a.older_than) else "not broken")
     elif a.command == "list":
         shown = repo.list().withColumn("time", rfc2822(F.col("ts"), F.col("tz_offset_sec")))
         rows = shown.select("position", "name", "time").collect()  # one small row a snapshot

@@ -99,13 +99,15 @@ BUZ = BuzHash(0, window=48, mask_bits=6, table=_words())
 GEAR = FastCDC(64, 256, 1024)
 
 
-@query(f"""WITH t AS MATERIALIZED (SELECT i AS byte, CAST('0x' || substr(sha256(CAST(i AS VARCHAR)), 1, 16) AS UBIGINT) AS w FROM range(256) r(i)), {O},
-     p AS (SELECT path, i AS pos, i % 64 AS k, CAST(('0x' || hex(b[i + 1 : i + 1])) AS INTEGER) AS byte FROM (SELECT path, b, unnest(range(octet_length(b))) AS i FROM o)),
+P = "p AS (SELECT path, i AS pos, i % 64 AS k, CAST(('0x' || hex(b[i + 1 : i + 1])) AS INTEGER) AS byte FROM (SELECT path, b, unnest(range(octet_length(b))) AS i FROM o))"
+H = f"""t AS MATERIALIZED (SELECT i AS byte, CAST('0x' || substr(sha256(CAST(i AS VARCHAR)), 1, 16) AS UBIGINT) AS w FROM range(256) r(i)), {O}, {P},
      r AS (SELECT path, pos, k, CASE WHEN k = 0 THEN w ELSE (w >> k) | ((w & ((1::UBIGINT << k) - 1)) << (64 - k)) END AS x FROM p JOIN t USING (byte)),
      q AS (SELECT path, pos, k, bit_xor(x) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS q FROM r),
      z AS (SELECT path, pos, k, xor(q, coalesce(lag(q, 48) OVER (PARTITION BY path ORDER BY pos), 0::UBIGINT)) AS z FROM q),
-     h AS (SELECT path, pos, CASE WHEN k = 0 THEN z ELSE ((z & ((1::UBIGINT << (64 - k)) - 1)) << k) | (z >> (64 - k)) END AS h FROM z)
-     SELECT path, count(*) AS n_candidates, CAST(sum(pos) AS BIGINT) AS sum_pos FROM h WHERE h & 63 = 0 GROUP BY path""")
+     h AS (SELECT path, pos, CASE WHEN k = 0 THEN z ELSE ((z & ((1::UBIGINT << (64 - k)) - 1)) << k) | (z >> (64 - k)) END AS h FROM z)"""
+
+
+@query(f"WITH {H} SELECT path, count(*) AS n_candidates, CAST(sum(pos) AS BIGINT) AS sum_pos FROM h WHERE h & 63 = 0 GROUP BY path")
 def buzhash_candidates(spark, d):
     def run(batches):
         for batch in batches:
@@ -119,12 +121,35 @@ def _rolling(spark, d, chunker):
     return chunk(objects(spark, d), chunker).select("path", long("ordinal").alias("ordinal"), "start", "length", F.sha2("body", 256).alias("chunk_id"))
 
 
-@query()
+#: Cuts chosen one after another among the candidates (ends, exclusive) of each object.
+CHUNKS = """cut(path, ordinal, start, stop) AS (SELECT path, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM o
+        UNION ALL SELECT c.path, ordinal + 1, stop, least(size, {end}) FROM cut c JOIN found f ON f.path = c.path WHERE stop < size)
+     SELECT path, ordinal, start, stop - start AS length, sha256(b[start + 1 : stop]) AS chunk_id FROM cut JOIN o USING (path) WHERE ordinal >= 0"""
+AHEAD = "list_min(list_filter({list}, lambda x: x >= stop + {least}))"
+
+
+@query(f"""WITH RECURSIVE {H}, c AS (SELECT path, list(pos + 1) AS ends FROM h WHERE h & 63 = 0 GROUP BY path),
+     found AS MATERIALIZED (SELECT o.path, octet_length(b) AS size, coalesce(ends, []) AS ends FROM o LEFT JOIN c USING (path)),
+     {CHUNKS.format(end=f"least(coalesce({AHEAD.format(list='ends', least=BUZ.least)}, stop + {BUZ.most}), stop + {BUZ.most})")}""")
 def buzhash_chunks(spark, d):
     return _rolling(spark, d, BUZ)
 
 
-@query()
+def _doubled(w: int) -> str:
+    """The Gear hash over 2w bytes from that over w."""
+    lag = f"coalesce(lag(h, {w}) OVER (PARTITION BY path ORDER BY pos), 0::UBIGINT)"
+    return f"SELECT path, pos, CAST((h::UHUGEINT + (({lag} & ((1::UBIGINT << {64 - w}) - 1)) << {w})::UHUGEINT) & 18446744073709551615::UHUGEINT AS UBIGINT) AS h"
+
+
+_gear = "SELECT path, pos, w AS h FROM p JOIN t USING (byte)"
+for _k in range(6):
+    _gear = f"{_doubled(1 << _k)} FROM ({_gear})"
+
+
+@query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT i AS byte, CAST('0x' || substr({hmac_sql((0x5117BED).to_bytes(8, "little"), "unhex(printf('%02x', i))")}, 1, 16) AS UBIGINT) AS w FROM range(256) r(i)), {O}, {P},
+     h AS ({_gear}), c AS (SELECT path, list(pos + 1) AS loose, list(pos + 1) FILTER (h >> 55 = 0) AS strict FROM h WHERE h >> 57 = 0 GROUP BY path),
+     found AS MATERIALIZED (SELECT o.path, octet_length(b) AS size, coalesce(loose, []) AS loose, coalesce(strict, []) AS strict FROM o LEFT JOIN c USING (path)),
+     {CHUNKS.format(end=f"coalesce(list_min(list_filter(strict, lambda x: x >= stop + {GEAR.least} AND x < stop + {GEAR.average})), least(coalesce({AHEAD.format(list='loose', least=GEAR.average)}, stop + {GEAR.most}), stop + {GEAR.most}))")}""")
 def gear_chunks(spark, d):
     return _rolling(spark, d, GEAR)
 
@@ -155,9 +180,13 @@ def chunkid_pad_verify(spark, d):
 @query("""WITH b AS (SELECT r_regionkey, r_name, unnest(range(length(r_name))) AS i FROM region)
      SELECT r_regionkey AS region_key, i % 3 AS key_no, string_agg(r_name[i + 1], '' ORDER BY i) AS dealt FROM b GROUP BY ALL""")
 def key_deal_roundrobin(spark, d):
-    r = table(spark, d, "region").select("r_regionkey", F.posexplode(F.split("r_name", "")).alias("i", "c")).where("c <> ''")
-    g = r.groupBy(F.col("r_regionkey").alias("region_key"), long(F.col("i") % 3).alias("key_no")).agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("x"))
-    return g.select("region_key", "key_no", F.array_join("x.c", "").alias("dealt"))
+    """The names' characters dealt to three keys by the function that makes keys from bytes; they come to the driver, as key
+    material does."""
+    rows = []
+    for r in table(spark, d, "region").select("r_regionkey", "r_name").collect():
+        k = Key.from_bytes(r.r_name.encode(), 0)
+        rows += [(r.r_regionkey, i, x.decode()) for i, x in enumerate((k.key, k.hmac_key, k.id_key)) if x]
+    return spark.createDataFrame(rows, "region_key int, key_no long, dealt string")
 
 
 @query()
@@ -214,6 +243,15 @@ def count_chunks(spark, d):
     return dedup.count_chunks(table(spark, d, "events"), "user_id")
 
 
+@query("""SELECT user_id, event_id FROM events WHERE user_id = 0
+     UNION ALL SELECT user_id, min(event_id) FROM events WHERE user_id <> 0 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL) GROUP BY user_id""")
+def dedup_special_id(spark, d):
+    """Customers' keys are known; rows with the special key are written whether they are known or not."""
+    e = table(spark, d, "events").groupBy("user_id", F.when(F.col("user_id") == 0, F.col("event_id")).alias("_own")).agg(F.min("event_id").alias("event_id"))
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return dedup.new_chunks(e.select("user_id", "event_id"), known, "user_id", always=0)
+
+
 # index log
 
 
@@ -255,6 +293,24 @@ def numeric_file_names(spark, d):
     return index.numeric_names(table(spark, d, "pages").select(F.regexp_extract("url", "[^/]*$", 0).alias("name"))).distinct()
 
 
+@query("""SELECT l_orderkey, l_linenumber, o_custkey, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def flatfile_headers(spark, d):
+    """Locations (lines) with their headers (orders); a line without an order would be an error."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), "l_linenumber")
+    headers = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), "o_custkey", "o_orderstatus")
+    return index.with_headers(lines, headers).withColumnRenamed("chunk_id", "l_orderkey")
+
+
+@query("""WITH n AS (SELECT l_orderkey, count(*) AS length FROM lineitem GROUP BY l_orderkey)
+     SELECT o_orderkey, o_orderdate, length, c_name FROM orders JOIN n ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey""")
+def flatfile_descriptors(spark, d):
+    """Descriptors (orders) with lengths (their lines) by order, then with headers (customers)."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").alias("header"))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("length"))
+    headers = table(spark, d, "customer").select(F.col("c_custkey").alias("header"), "c_name")
+    return index.with_headers(index.described(o, n, o.select("o_orderkey"), "o_orderkey"), headers, "header").select("o_orderkey", "o_orderdate", "length", "c_name")
+
+
 # listings
 
 
@@ -286,6 +342,12 @@ def listing_bfs(spark, d):
     return listing.bfs(_tree(spark, d)).select("path", long("depth").alias("depth"))
 
 
+@query(f"""WITH RECURSIVE {T}, w(path, depth) AS (SELECT path, 0 FROM t WHERE parent_path = '' UNION ALL SELECT t.path, w.depth + 1 FROM w JOIN t ON t.parent_path = w.path)
+     SELECT path, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY depth ORDER BY regexp_replace(path, '/?[^/]*$', ''), path) - 1 AS position FROM w""")
+def listing_level_order(spark, d):
+    return listing.level_order(_tree(spark, d)).select("path", long("depth").alias("depth"), long("position").alias("position"))
+
+
 @query(f"WITH {T}, k AS (SELECT * FROM t WHERE path NOT LIKE 'A%' OR parent_path <> '') SELECT path FROM k WHERE parent_path <> '' AND parent_path NOT IN (SELECT path FROM k WHERE node_type = 'Directory')")
 def listing_orphans(spark, d):
     """Nodes left without a parent once the top directories whose names begin with A are taken away."""
@@ -325,6 +387,11 @@ def archives_newest_first(spark, d):
     return manifest.newest_first(_archives(spark, d), by=["repo"]).select("repo", "position", "tag", "name")
 
 
+@query("SELECT o_custkey AS repo, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position, o_orderkey AS tag FROM orders")
+def archives_in_insertion_order(spark, d):
+    return manifest.insertion_order(_archives(spark, d), ("tag",), by=["repo"]).select("repo", "position", "tag")
+
+
 @query("SELECT o_orderkey AS tag FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 3")
 def archive_select_by_index(spark, d):
     return manifest.select_archive(_archives(spark, d), 3).select("tag")
@@ -378,6 +445,22 @@ def manifest_tags_verify(spark, d):
     return manifest.verify_tags(rows, MAC_KEY, cols).select("o_orderkey", "tag", "valid")
 
 
+M = """n AS (SELECT o_orderkey AS tag, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+     e AS (SELECT b.tag, a.tag AS up FROM n b JOIN n a ON a.c = b.c AND a.i = b.i - 1
+           UNION ALL SELECT b.tag, a.tag FROM n b JOIN n a ON b.i % 7 = 0 AND b.c % 5 <> 0 AND a.c = b.c - 1 AND a.i = b.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE {M}, w(tag, depth) AS (SELECT tag, 0 FROM n WHERE tag NOT IN (SELECT tag FROM e) UNION SELECT e.tag, depth + 1 FROM w JOIN e ON e.up = w.tag)
+     SELECT tag, CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY tag""")
+def manifest_depth_merges(spark, d):
+    """Every seventh order of a customer also follows the one before's order with the next number, so that logs merge."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("i"))
+    up = o.select(F.col("o_orderkey").alias("up"), "c", "i")
+    more = up.select(F.col("up").alias("merged"), (F.col("c") + 1).alias("c"), (F.col("i") - 1).alias("i")).where((F.col("i") % 7 == 0) & (F.col("c") % 5 != 0))
+    log = o.join(up.select("up", "c", (F.col("i") + 1).alias("i")), ["c", "i"], "left").join(more, ["c", "i"], "left")
+    return manifest.depth(log.select(F.col("o_orderkey").alias("tag"), F.array_compact(F.array("up", "merged")).alias("previous_heads"))).select("tag", "depth")
+
+
 @query(f"WITH {X} SELECT max(ts) AS last_modification FROM x WHERE tag NOT IN (SELECT prev FROM x WHERE prev IS NOT NULL)")
 def last_modification(spark, d):
     return manifest.last_modification(_log(spark, d))
@@ -479,6 +562,15 @@ def pack_unpack_roundtrip(spark, d):
     return found.select("object", "plain_hash", F.explode(times)).select("object", "plain_hash")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS object, sha256(encode(text)) AS plain_hash FROM documents")
+def split_unsplit(spark, d):
+    """Packed objects, parted into headers and bodies, put together again and unpacked."""
+    o = objects(spark, d, "doc_id").select(F.col("doc_id").cast("string").cast("binary").alias("chunk_id"), F.col("content").alias("body"))
+    packed = codecs.pack(o, KEY, "zstd", 1, "none")
+    back = codecs.unpack(codecs.unsplit(*codecs.split(packed)), KEY, [("zstd", "none", "sha256")])
+    return back.select(F.col("chunk_id").cast("string").alias("object"), F.sha2("body", 256).alias("plain_hash"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS damaged FROM documents WHERE doc_id % 9 = 0 AND octet_length(encode(text)) > 0")
 def scrub_tampered(spark, d):
     """One byte of the data of every ninth object is altered."""
@@ -512,6 +604,16 @@ def list_query(spark, d):
     return a.groupBy("repo").agg(F.count("*").alias("n_archives"), F.max("ts").alias("last_modification"), F.min_by("tag", "position").alias("newest"))
 
 
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'third'), (1, 'second'), (2, 'first')) t(position, name)")
+def repository_list(spark, d):
+    """Three snapshots of the regions, listed by the repository."""
+    repo = Repository.create(spark, shared_path(spark, "repository"), "password", Settings.lightweight())
+    regions = table(spark, d, "region").select(F.col("r_name").alias("path"), F.encode("r_name", "UTF-8").alias("content"))
+    for name in ("first", "second", "third"):
+        repo.store(regions, name, SLICE)
+    return repo.list().select("position", "name")
+
+
 @query(f"WITH {O} SELECT path, sha256(b) AS content_hash FROM o")
 def repository_roundtrip(spark, d):
     """All objects through a repository: create, store, open again, extract."""

@@ -212,6 +212,16 @@ def pack(slices: DataFrame, key: Key, compression: str = "zstd", level: int = 1,
     )
 
 
+def split(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, bodies) of packed rows: everything but the data, and the data; both by chunk_id."""
+    return packed.drop("data"), packed.select("chunk_id", "data")
+
+
+def unsplit(headers: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Packed rows from headers and bodies of distinct ids; a header without a body is left out."""
+    return headers.join(bodies, "chunk_id")
+
+
 def settings_of(packed: DataFrame) -> list[tuple[str, str, str]]:
     """The (compression, encryption, hmac) triples in use: a handful, whatever the number of rows."""
     return sorted(tuple(r) for r in packed.select("compression", "encryption", "hmac").distinct().collect())

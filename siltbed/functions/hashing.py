@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -69,6 +70,11 @@ def chunk_id(raw: Column) -> Column:
     return F.substring(F.concat(raw, F.lit(bytes(ID_SIZE))), 1, ID_SIZE)
 
 
+def random_id() -> bytes:
+    """A new id that no content has, for what is not content-addressed."""
+    return os.urandom(ID_SIZE)
+
+
 def verify_id(raw: Column, identity: Column) -> Column:
     """False where raw has under 32 bytes; else whether its first 32 are the id."""
     return (F.octet_length(raw) >= ID_SIZE) & (F.substring(raw, 1, ID_SIZE) == identity)

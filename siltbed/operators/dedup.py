@@ -11,10 +11,14 @@ def first_of_each(slices: DataFrame, key: str = "chunk_id") -> DataFrame:
     return slices.dropDuplicates([key])
 
 
-def new_chunks(slices: DataFrame, index: DataFrame, key: str = "chunk_id") -> DataFrame:
+def new_chunks(slices: DataFrame, index: DataFrame, key: str = "chunk_id", always: object = None) -> DataFrame:
     """One row for each key that the index does not hold. Known keys go before duplicates are looked for, so that their
-    bodies are not shuffled if the index side is small enough to broadcast."""
-    return first_of_each(slices.join(index.select(key), key, "left_anti"), key)
+    bodies are not shuffled if the index side is small enough to broadcast. Rows with the key `always` (the manifest's id)
+    are all new, whether the index holds it or not."""
+    if always is None:
+        return first_of_each(slices.join(index.select(key), key, "left_anti"), key)
+    special = F.col(key).eqNullSafe(F.lit(always))
+    return new_chunks(slices.where(~special), index, key).unionByName(slices.where(special))
 
 
 def already_present(slices: DataFrame, index: DataFrame, key: str = "chunk_id") -> DataFrame:

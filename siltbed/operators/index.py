@@ -21,6 +21,25 @@ def lookup(index: DataFrame, keys: DataFrame, key: str = "chunk_id") -> DataFram
     return keys.join(index, key, "inner")
 
 
+class HeaderNotFound(LookupError):
+    pass
+
+
+def with_headers(locations: DataFrame, headers: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """locations with the columns of their headers. A location whose header is missing raises HeaderNotFound at once: an anti
+    join over the keys comes first."""
+    lost = locations.select(key).join(headers.select(key), key, "left_anti").limit(1).collect()
+    if lost:
+        raise HeaderNotFound(f"no header for {lost[0][0]!r}")
+    return locations.join(headers, key)
+
+
+def described(descriptors: DataFrame, lengths: DataFrame, headers: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """What a flat file says of its chunks: descriptors with their lengths and headers, all by key. A descriptor without a
+    length is left out, as after an interrupted write; one without a header raises HeaderNotFound."""
+    return with_headers(descriptors.join(lengths, key), headers, key)
+
+
 def next_id(log: DataFrame, column: str = "segment_id") -> DataFrame:
     """One more than the greatest id, 0 for an empty log."""
     return log.agg((F.coalesce(F.max(column), F.lit(-1)) + 1).alias("next_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions.paths import ancestors, parent
@@ -45,6 +45,19 @@ def bfs(nodes: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("path"), F.col("distance").alias("depth"))
 
 
+def level_order(nodes: DataFrame) -> DataFrame:
+    """(path, depth, position): the nodes that `bfs` reaches, level by level; position counts from 0 within a level, by
+    path, so that the order does not depend on how the rows are dealt. Levels are numbered in two steps: paths are dealt by
+    their parents first, so a level with a third of all nodes is not sorted by one task unless one directory holds it."""
+    found = bfs(nodes).join(attached(nodes).select("path", "parent_path"), "path").dropDuplicates(["path"])
+    own = Window.partitionBy("depth", "parent_path").orderBy("path")
+    inside = found.withColumn("_i", F.row_number().over(own) - 1)
+    sizes = inside.groupBy("depth", "parent_path").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("depth").orderBy("parent_path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("depth", "parent_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return inside.join(offsets, ["depth", "parent_path"]).select("path", "depth", (F.col("_i") + F.col("_o")).alias("position"))
+
+
 def orphans(nodes: DataFrame) -> DataFrame:
     """Nodes, other than roots, whose parent is missing or is not a directory."""
     dirs = nodes.where("node_type = 'Directory'").select(F.col("path").alias("parent_path"))

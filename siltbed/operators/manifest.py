@@ -29,8 +29,10 @@ def depth(tx: DataFrame) -> DataFrame:
 
     Runs of records with one parent each are followed by pointer doubling to the root or merge that they start from. Only
     merges are left then; their depths rise round by round until they settle, with one row a merge, however many paths
-    lead to it. A log without merges takes a logarithmic number of rounds. Null parents count as none; a repeated tag
-    counts once.
+    lead to it. A log without merges takes a logarithmic number of rounds, one with merges a round more for each merge on
+    the longest path. Links that lead back to where they come from raise Cycle: through merges, once depths still rise
+    after as many rounds as there are merges, or a depth is more than there are records. Null parents count as none; a
+    repeated tag counts once.
     """
     up = F.array_distinct(F.coalesce("previous_heads", F.array().cast("array<string>")))
     base = cut(tx.dropDuplicates(["tag"]).select("tag", up.alias("up")))
@@ -39,14 +41,20 @@ def depth(tx: DataFrame) -> DataFrame:
     merges = base.where(F.size("up") > 1).select("tag", F.explode("up").alias("node"))
     steps = cut(merges.join(runs, "node").select("tag", "anchor", (F.col("distance") + 1).alias("more")))
     if not steps.isEmpty():
+        most = base.count()
+        rounds = merges.select("tag").distinct().count() + 1
         known, before = cut(known), None
-        while True:
+        for _ in range(rounds + 1):
             risen = steps.join(known, "anchor").select(F.col("tag").alias("anchor"), (F.col("depth") + F.col("more")).alias("depth"))
             known = cut(known.union(risen).groupBy("anchor").agg(F.max("depth").alias("depth")))
-            now = known.agg(F.count("*"), F.sum("depth")).first()  # neither ever falls
+            now = known.agg(F.count("*"), F.sum("depth"), F.max("depth")).first()  # none ever falls
             if now == before:
                 break
             before = now
+            if (now[2] or 0) >= most:
+                raise chains.Cycle("links lead back to where they come from")
+        else:
+            raise chains.Cycle("links lead back to where they come from")
     return runs.join(known, "anchor").select(F.col("node").alias("tag"), (F.col("distance") + F.col("depth")).alias("depth"))
 
 
@@ -87,6 +95,12 @@ def select_archive(archives: DataFrame, wanted: int | str, name: str = "name", t
     return found
 
 
+def insertion_order(archives: DataFrame, order: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
+    """archives with `position` from 0 in the order in which they were put in, within groups `by`."""
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    return archives.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+
+
 def last_modification(tx: DataFrame, ts: str = "ts") -> DataFrame:
     """The greatest time over the heads; null for an empty log."""
     return heads(tx).agg(F.max(ts).alias("last_modification"))

@@ -17,15 +17,17 @@ def reassemble(slices: DataFrame, by: str = "path") -> DataFrame:
     """(by, content) from (by, start, length, body), holes filled with zeros, bytes in the order of start.
 
     One object is one value: its slices meet in one task, in a single shuffle. Overlapping slices raise an error. Equal
-    (start, body) rows count once. Concatenation is one call over the sorted bodies, not a fold.
+    (start, body) rows count once; a slice is told from the one before it by places and digests, so no body is carried
+    along. Bodies are put together as bytes, in one call over the sorted slices.
     """
-    w = Window.partitionBy(by).orderBy("start", "length")
-    before = slices.select(by, "start", "length", "body", F.lag(F.struct("start", "length", "body")).over(w).alias("_p"))
-    again = (F.col("_p.start") == F.col("start")) & (F.col("_p.body") == F.col("body"))
+    w = Window.partitionBy(by).orderBy("start", "length", "_d")
+    placed = slices.select(by, "start", "length", "body", F.sha2("body", 256).alias("_d"))
+    before = placed.withColumn("_p", F.lag(F.struct("start", "length", "_d")).over(w))
+    again = (F.col("_p.start") == F.col("start")) & (F.col("_p._d") == F.col("_d"))
     gap = F.col("start") - F.coalesce(F.col("_p.start") + F.col("_p.length"), F.lit(0))
-    hexes = F.when(gap < 0, F.raise_error(F.lit("slices overlap")).cast("string")).otherwise(F.concat(F.repeat(F.lit("00"), gap.cast("int")), F.hex("body")))
-    parts = before.where(~F.coalesce(again, F.lit(False))).select(by, "start", hexes.alias("h"))
-    return parts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("start", "h"))).alias("p")).select(by, F.unhex(F.array_join("p.h", "")).alias("content"))
+    filled = F.when(gap < 0, F.raise_error(F.lit("slices overlap")).cast("binary")).when(gap > 0, F.concat(F.repeat(F.lit("\0"), gap.cast("int")).cast("binary"), F.col("body"))).otherwise(F.col("body"))
+    parts = before.where(~F.coalesce(again, F.lit(False))).select(by, "start", filled.alias("_b"))
+    return parts.groupBy(by).agg(F.expr("listagg(_b) WITHIN GROUP (ORDER BY start)").alias("content"))
 
 
 def range_fetch(slices: DataFrame, extents: DataFrame, by: str = "path") -> DataFrame:

@@ -1,4 +1,4 @@
-"""A repository of snapshots on Parquet: create, open, store, list, contents, extract, scrub.
+"""A repository of snapshots in a backend: create, open, store, list, contents, extract, scrub.
 
 Tables below the base path: chunks, object_chunks, nodes, archives (the snapshot log, one small file a snapshot) and the
 driver's files key.json and settings.json. A snapshot is committed by its row in archives, written last; a crash before
@@ -8,6 +8,9 @@ that leaves chunks without a snapshot, never a snapshot without its chunks.
 from __future__ import annotations
 
 import json
+import os
+import platform
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
@@ -22,6 +25,7 @@ from siltbed.functions.keys import Key
 from siltbed.functions.paths import glob_filter, object_key, trimmed
 from siltbed.operators import dedup, listing, manifest, restore
 from siltbed.operators.chunkers import FastCDC, chunk
+from siltbed.plans.backends import Backend, Folder
 
 
 class RepositoryError(Exception):
@@ -62,86 +66,79 @@ TAGGED = ["heads", "pointer", "name", "ts_us", "tz_offset_sec", "nonce"]
 
 
 class Repository:
-    def __init__(self, spark: SparkSession, base: str, key: Key, settings: Settings):
-        self.spark, self.base, self.key, self.settings = spark, base.rstrip("/"), key, settings
-
-    # driver-side files, through Hadoop's file system so that any store will do
-
-    @staticmethod
-    def _fs(spark: SparkSession, path: str):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-    @classmethod
-    def _put(cls, spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
-        fs, p = cls._fs(spark, path)
-        out = fs.create(p, replace)
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
+    def __init__(self, backend: Backend, key: Key, settings: Settings):
+        self.backend, self.spark, self.key, self.settings = backend, backend.spark, key, settings
 
     @classmethod
-    def _get(cls, spark: SparkSession, path: str) -> str:
-        return spark.read.text(path, wholetext=True).first()[0]
-
-    @classmethod
-    def create(cls, spark: SparkSession, base: str, password: str, settings: Settings | None = None) -> Repository:
-        """A new repository with a random key; refuses a path that exists."""
-        fs, p = cls._fs(spark, base)
-        if fs.exists(p):
-            raise AlreadyExists(base)
+    def create(cls, spark: SparkSession, base: str | Backend, password: str, settings: Settings | None = None) -> Repository:
+        """A new repository with a random key, below a path or in a backend; refuses one that exists."""
+        backend = base if isinstance(base, Backend) else Folder(spark, base)
+        if backend.get("key.json") is not None or isinstance(backend, Folder) and backend.exists():
+            raise AlreadyExists(str(backend))
         settings, key = settings or Settings(), Key.random()
-        base = base.rstrip("/")
-        cls._put(spark, f"{base}/settings.json", json.dumps(asdict(settings)))
-        cls._put(spark, f"{base}/version.json", json.dumps({"version": __version__, "implementation": IMPLEMENTATION_UUID}))
-        cls._put(spark, f"{base}/key.json", json.dumps(key.wrap(password)))
-        return cls(spark, base, key, settings)
+        backend.put("settings.json", json.dumps(asdict(settings)))
+        backend.put("version.json", json.dumps({"version": __version__, "implementation": IMPLEMENTATION_UUID}))
+        backend.put("key.json", json.dumps(key.wrap(password)))
+        return cls(backend, key, settings)
 
     @classmethod
-    def open(cls, spark: SparkSession, base: str, password: str) -> Repository:
-        base = base.rstrip("/")
-        fs, p = cls._fs(spark, f"{base}/key.json")
-        if not fs.exists(p):
-            raise RepositoryError(f"no repository at {base}")
-        return cls(spark, base, Key.unwrap(json.loads(cls._get(spark, f"{base}/key.json")), password), Settings(**json.loads(cls._get(spark, f"{base}/settings.json"))))
+    def open(cls, spark: SparkSession, base: str | Backend, password: str) -> Repository:
+        backend = base if isinstance(base, Backend) else Folder(spark, base)
+        wrapped = backend.get("key.json")
+        if wrapped is None:
+            raise RepositoryError(f"no repository at {backend}")
+        return cls(backend, Key.unwrap(json.loads(wrapped), password), Settings(**json.loads(backend.get("settings.json"))))
 
     def set_settings(self, settings: Settings) -> None:
         if settings.hmac != self.settings.hmac:
             raise RepositoryError("the HMAC of a repository is fixed: ids depend on it")
-        self._put(self.spark, f"{self.base}/settings.json", json.dumps(asdict(settings)), replace=True)
+        self.backend.put("settings.json", json.dumps(asdict(settings)), replace=True)
         self.settings = settings
 
-    def _lock(self):
-        """The lock file is created exclusively: a second writer fails."""
+    def _lock(self) -> None:
+        """The lock file is created exclusively: a second writer fails with Locked, which tells who holds it and since when.
+        Any other error of the store is passed on."""
         try:
-            self._put(self.spark, f"{self.base}/lock", uuid.uuid4().hex)
-        except Exception as e:
-            raise Locked(self.base) from e
+            self.backend.put("lock", json.dumps({"holder": uuid.uuid4().hex, "since": time.time(), "host": platform.node(), "pid": os.getpid()}))
+        except FileExistsError as e:
+            raise Locked(f"{self.backend}: {self.lock_holder()}") from e
+
+    def lock_holder(self) -> dict | None:
+        """Who holds the lock: holder, since (seconds since 1970), host and pid; None if nobody does."""
+        held = self.backend.get("lock")
+        return None if held is None else json.loads(held)
+
+    def break_lock(self, older_than: float = 3600) -> bool:
+        """Takes a lock away that a crashed writer has left, if it is older than so many seconds, and the staging area with
+        it; whether there was one. It is for the caller to know that the writer is dead."""
+        held = self.lock_holder()
+        if held is None or time.time() - held["since"] < older_than:
+            return False
+        self.backend.delete("staging")
+        self.backend.delete("lock")
+        return True
 
     def _unlock(self) -> None:
-        fs, p = self._fs(self.spark, f"{self.base}/lock")
-        fs.delete(p, False)
+        self.backend.delete("lock")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        fs, p = self._fs(self.spark, f"{self.base}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)
+    def touch(self) -> None:
+        """Nothing to do: a snapshot's record is all that tells when a repository was last changed."""
 
     @property
     def chunks(self) -> DataFrame:
-        return self._table("chunks", CHUNKS)
+        return self.backend.table("chunks", CHUNKS)
 
     @property
     def object_chunks(self) -> DataFrame:
-        return self._table("object_chunks", OBJECT_CHUNKS)
+        return self.backend.table("object_chunks", OBJECT_CHUNKS)
 
     @property
     def nodes(self) -> DataFrame:
-        return self._table("nodes", NODES)
+        return self.backend.table("nodes", NODES)
 
     @property
     def archives(self) -> DataFrame:
-        return self._table("archives", ARCHIVES)
+        return self.backend.table("archives", ARCHIVES)
 
     # chunks
 
@@ -164,7 +161,7 @@ class Repository:
         """Hash, anti-join, and pack only what is new. chunk_id and body are read; each id is written once."""
         s = self.settings
         new = dedup.new_chunks(slices.select("chunk_id", "body"), self.chunks)
-        codecs.pack(new, self.key, s.compression, s.level, s.encryption, s.hmac).write.mode("append").parquet(f"{self.base}/chunks")
+        self.backend.append("chunks", codecs.pack(new, self.key, s.compression, s.level, s.encryption, s.hmac))
 
     # snapshots
 
@@ -177,30 +174,44 @@ class Repository:
         pointer, ns = uuid.uuid4().hex, list(namespace)
         key = object_key(F.array(*map(F.lit, ns)).cast("array<string>"), F.col("path"))
         self._lock()
+        staged = f"staging/{pointer}"
         try:
-            staged = f"{self.base}/staging/{pointer}"
             origin = F.coalesce(F.col("start"), F.lit(0)) if "start" in objects.columns else F.lit(0)
             sized = objects.select("path", origin.cast("long").alias("origin"), F.coalesce(F.col("content"), F.lit(b"")).alias("content"))
             slices = chunk(sized, chunker or FastCDC()).withColumn("start", F.col("start") + F.col("origin"))
             slices = slices.withColumn("chunk_id", content_id(F.col("body"), self.key.id_key, self.settings.hmac))
-            slices.write.parquet(staged)  # hashed once; read for the dedup, for the bodies and for the locations
-            slices = self.spark.read.parquet(staged)
-            twice = sized.groupBy(trimmed(F.col("path")).alias("path"), "origin").count().where("count > 1").limit(1).collect()
+            # only places and ids are staged, never a body
+            empty = sized.where(F.octet_length("content") == 0).select("path", "origin", F.lit(-1).alias("ordinal"), F.col("origin").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("chunk_id"))
+            places = self.backend.stage(staged, slices.select(empty.columns).unionByName(empty))
+            firsts = F.count_if(F.col("ordinal") <= 0)
+            extents = places.groupBy(F.col("path"), "origin").agg(firsts.alias("n"), F.sum("length").alias("length"))
+            twice = extents.groupBy(trimmed(F.col("path")).alias("path"), "origin").agg(F.sum("n").alias("n")).where("n > 1").limit(1).collect()
             if twice:
                 raise RepositoryError(f"{twice[0][0]!r} is stored twice")
-            self.write_chunks(slices)
-            where = slices.select(F.lit(pointer).alias("archive"), F.lit("".join(f"{n}:" for n in ns) or ":").alias("namespace"), key.alias("path"), "ordinal", "chunk_id", "start", "length")
-            where.write.mode("append").parquet(f"{self.base}/object_chunks")
-            size = F.octet_length("content").cast("long")
-            tree = listing.nodes_of_extents(sized.select("path", F.col("origin").alias("start"), size.alias("length")))
-            tree.select(F.lit(pointer).alias("archive"), "path", "node_type", "total_length", "total_size", "extents", "parent_path").write.mode("append").parquet(f"{self.base}/nodes")
+            self._write_new(slices, places)
+            where = places.where("ordinal >= 0").select(F.lit(pointer).alias("archive"), F.lit("".join(f"{n}:" for n in ns) or ":").alias("namespace"), key.alias("path"), "ordinal", "chunk_id", "start", "length")
+            self.backend.append("object_chunks", where)
+            tree = listing.nodes_of_extents(extents.select("path", F.col("origin").alias("start"), "length"))
+            self.backend.append("nodes", tree.select(F.lit(pointer).alias("archive"), "path", "node_type", "total_length", "total_size", "extents", "parent_path"))
             self._commit(pointer, name, tz_offset_sec)
-            fs, p = self._fs(self.spark, staged)
-            fs.delete(p, True)
         finally:
+            self.backend.delete(staged)
             self._unlock()
         return pointer
 
+    def _write_new(self, slices: DataFrame, places: DataFrame) -> None:
+        """Packs the bodies of one place of each staged id that the index lacks. Ids are compared and places chosen without
+        bodies; of the slices, made anew, only those at chosen places go on. A source that has changed since it was staged
+        no longer has a chosen id at its place: that is an error, and the snapshot is not committed."""
+        s, chosen = self.settings, F.min(F.struct("path", "origin", "ordinal")).alias("at")
+        lacking = places.where("ordinal >= 0").join(self.chunks.select("chunk_id"), "chunk_id", "left_anti")
+        wanted = lacking.groupBy("chunk_id").agg(chosen).select("chunk_id", "at.*")
+        new = slices.join(wanted, ["path", "origin", "ordinal", "chunk_id"], "left_semi")
+        self.backend.append("chunks", codecs.pack(new.select("chunk_id", "body"), self.key, s.compression, s.level, s.encryption, s.hmac))
+        lost = places.where("ordinal >= 0").join(self.chunks.select("chunk_id"), "chunk_id", "left_anti").limit(1).collect()
+        if lost:
+            raise RepositoryError(f"{lost[0]['path']!r} changed while it was stored")
+
     def _commit(self, pointer: str, name: str, tz_offset_sec: int) -> None:
         """The new record links to all current heads and becomes the only head."""
         heads = sorted(r[0] for r in manifest.heads(self.archives).select("tag").collect())
@@ -209,7 +220,7 @@ class Repository:
             F.lit(self.spark.sql("select unix_micros(current_timestamp())").first()[0]).alias("us"), F.lit(tz_offset_sec).alias("tz_offset_sec"), F.lit(uuid.uuid4().hex).alias("nonce"),
         ).withColumn("ts", F.timestamp_micros("us")).drop("us")
         row = manifest.tagged(self._canonical(row), self.key.hmac_key, TAGGED)
-        row.select("tag", "previous_heads", "pointer", "name", "ts", "tz_offset_sec", "nonce").coalesce(1).write.mode("append").parquet(f"{self.base}/archives")
+        self.backend.append("archives", row.select("tag", "previous_heads", "pointer", "name", "ts", "tz_offset_sec", "nonce").coalesce(1))
 
     @staticmethod
     def _canonical(rows: DataFrame) -> DataFrame:

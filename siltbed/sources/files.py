@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import posixpath
+import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,30 +41,41 @@ def _empty_files(spark: SparkSession, root: str) -> list[str]:
 
 
 def scan_directories(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of all directories below a local root, also of empty ones, which a file scan does not show."""
-    top = unquote(urlparse(root).path) if "://" in root else os.path.abspath(root)
-    found = [(os.path.relpath(os.path.join(d, x), top),) for d, dirs, _ in os.walk(top, onerror=lambda _: None) for x in dirs]
+    """Paths of all directories below root, in any Hadoop file system, also of empty ones, which a file scan does not show.
+    The driver lists them, as Spark's own file scan lists files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    waiting, found = [(p, "")], []
+    while waiting:
+        at, name = waiting.pop()
+        for f in fs.listStatus(at):
+            if f.isDirectory():
+                below = f"{name}/{f.getPath().getName()}" if name else f.getPath().getName()
+                found.append((below,))
+                waiting.append((f.getPath(), below))
     return spark.createDataFrame(found, "path string")
 
 
 def write_files(objects: DataFrame, target: str) -> DataFrame:
     """Writes (path, content) below target, from the executors, and returns (path, n_bytes) lazily: an action does the
-    work. target must be a folder that all executors share. Writing is idempotent: each file is written whole, then
-    renamed, so a task that runs again does no harm. A path that leads out of target is an error."""
-    top = os.path.abspath(target)
+    work. target is a folder that all executors share, or a URI of a store that Arrow knows (file, hdfs, s3, gs, abfs).
+    Writing is idempotent: each file is written whole, then renamed, so a task that runs again does no harm. A path that
+    leads out of target is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), os.path.abspath(target))
+        top = top.rstrip("/")
         for batch in batches:
             sizes = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                to = os.path.abspath(os.path.join(top, path))
-                if not to.startswith(top + os.sep):
+                to = posixpath.normpath(posixpath.join(top, path))
+                if not to.startswith(top + "/"):
                     raise ValueError(f"{path!r} leads out of {top}")
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                part = f"{to}.{os.getpid()}.part"
-                with open(part, "wb") as f:
+                store.create_dir(posixpath.dirname(to), recursive=True)
+                part = f"{to}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
                     f.write(content or b"")
-                os.replace(part, to)
+                store.move(part, to)
                 sizes.append(len(content or b""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
 

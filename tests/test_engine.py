@@ -3,8 +3,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from siltbed.functions import hashing
 from siltbed.operators import chains, dedup, index, listing, manifest, restore
 from siltbed.operators.chunkers import BuzHash, StaticSize
+from siltbed.plans.backends import Memory
 from siltbed.plans.repository import AlreadyExists, ArchiveNotFound, Locked, Repository, RepositoryError, Settings
 from siltbed.sources.files import scan_directories, scan_files, write_files
 from siltbed.streaming.ingest import first_seen, ingest
@@ -128,6 +130,80 @@ def test_repository_refuses(spark, tmp_path):
         repo.read_chunks(ids).collect()
 
 
+def test_locks_and_staging(spark, tmp_path, monkeypatch):
+    """A crashed writer's lock can be broken, other errors are not taken for locks, and nothing plain is ever staged."""
+    base = str(tmp_path / "repo")
+    repo = Repository.create(spark, base, "pw", Settings("none", 0, "aes256ctr"))
+    rows = spark.createDataFrame([("a", b"plain text of a secret" * 40), ("b", b"")], "path string, content binary")
+    seen, real = [], Repository._write_new
+
+    def looked(self, slices, places):
+        real(self, slices, places)
+        seen.extend(p.read_bytes() for p in (tmp_path / "repo").rglob("*") if p.is_file())
+
+    monkeypatch.setattr(Repository, "_write_new", looked)
+    repo.store(rows, "one", StaticSize(64))
+    assert seen and not any(b"plain text" in x for x in seen) and not list((tmp_path / "repo").glob("staging/*"))
+    monkeypatch.setattr(Repository, "_write_new", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        repo.store(rows, "two")
+    assert repo.lock_holder() is None and not list((tmp_path / "repo").glob("staging/*")) and repo.list().count() == 1
+    repo._lock()
+    assert repo.lock_holder()["pid"] == os.getpid() and not repo.break_lock() and repo.break_lock(0) and not repo.break_lock(0)
+    with pytest.raises(Exception, match="No FileSystem|Unsupported|unknown"):
+        Repository.create(spark, "nosuch://x/y", "pw")
+
+
+def test_a_source_that_changes_is_not_committed(spark, tmp_path):
+    repo = Repository.create(spark, str(tmp_path / "repo"), "pw")
+    moving = spark.range(20).select(F.col("id").cast("string").alias("path"), F.encode(F.expr("uuid()"), "UTF-8").alias("content"))
+    moving = moving.select("path", F.encode(F.udf(lambda _: os.urandom(8).hex()).asNondeterministic()("path"), "UTF-8").alias("content"))
+    with pytest.raises(RepositoryError, match="changed"):
+        repo.store(moving, "x")
+    assert repo.list().count() == 0
+
+
+def test_repository_in_memory(spark):
+    store = Memory(spark)
+    repo = Repository.create(spark, store, "pw")
+    rows = spark.createDataFrame([("d/a", b"x" * 300), ("b", b"")], "path string, content binary")
+    repo.store(rows, "one", StaticSize(100))
+    repo.store(rows, "two", StaticSize(100))
+    again = Repository.open(spark, store, "pw")
+    assert [r.name for r in again.list().collect()] == ["two", "one"] and again.count_chunks() == again.chunks.count() == 1
+    assert {r.path: bytes(r.content) for r in again.extract("one").collect()} == {"d/a": b"x" * 300, "b": b""}
+    with pytest.raises(AlreadyExists):
+        Repository.create(spark, store, "pw")
+    with pytest.raises(RepositoryError):
+        Repository.open(spark, Memory(spark), "pw")
+    again._lock()
+    with pytest.raises(Locked):
+        repo.store(rows, "three")
+    assert again.break_lock(0) and repo.touch() is None
+
+
+def test_cycles_through_merges(spark):
+    rows = [("a", []), ("b", ["a", "d"]), ("c", ["b"]), ("d", ["c"]), *((f"l{i}", [f"l{i - 1}"] if i else []) for i in range(50))]
+    with pytest.raises(chains.Cycle):
+        manifest.depth(spark.createDataFrame(rows, "tag string, previous_heads array<string>"))
+
+
+def test_missing_headers(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "chunk_id int"), spark.createDataFrame([(1, "x")], "chunk_id int, h string")
+    with pytest.raises(index.HeaderNotFound):
+        index.with_headers(a, b)
+    assert index.with_headers(a.where("chunk_id = 1"), b).first().h == "x"
+    assert index.described(a, a.where("chunk_id = 1"), b).count() == 1
+    assert len(hashing.random_id()) == 32 and hashing.random_id() != hashing.random_id()
+
+
+def test_restore_by_uri(spark, tmp_path, tree):
+    rows = spark.createDataFrame([("d/a b", b"x"), ("ü", b"")], "path string, content binary")
+    assert write_files(rows, (tmp_path / "o").as_uri()).count() == 2
+    assert (tmp_path / "o/d/a b").read_bytes() == b"x" and (tmp_path / "o/ü").read_bytes() == b"" and not list((tmp_path / "o").rglob("*.part"))
+    assert {r.path for r in scan_directories(spark, tree.as_uri().replace("%20", " ")).collect()} == {"A", "B", "B/C", "empty"}
+
+
 def test_directories_and_unsafe_paths(spark, tmp_path, tree):
     assert {r.path for r in scan_directories(spark, str(tree)).collect()} == {"A", "B", "B/C", "empty"}
     with pytest.raises(Exception, match="leads out"):
