@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 SALTS, PER_SALT = 64, 6
 #: Bytes per language at most: texts that would go beyond are left out of the fit.
 LANGUAGE_BYTES = 32 << 20
+#: Bytes of the tables at most, whatever the number of languages: rare contexts are left out until they fit.
+TABLE_BYTES = 256 << 20
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -46,7 +48,8 @@ class PPM:
     """Frozen statistics of all languages: bits[context number * size + symbol, language]."""
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = 3, min_count: int = 2):
-        """Contexts seen fewer than min_count times over all languages are not stored."""
+        """Contexts seen fewer than min_count times over all languages are not stored; min_count doubles until the tables
+        have TABLE_BYTES at most."""
         self.languages = sorted(samples)
         if not samples:
             return
@@ -62,17 +65,17 @@ class PPM:
         base = np.full(size, 1 / 256)
         base[0] = max(1, 256 - size + 1) / 256
         counts = [grams(samples[lang], symbols, size, order) for lang in self.languages]
-        contexts = [np.zeros(1, np.int64)]
-        for k in range(1, order + 1):
-            keys, c = np.unique(np.concatenate([g[k - 1][0] for g in counts]), return_inverse=True)
-            total = np.bincount(c, weights=np.concatenate([g[k - 1][1] for g in counts]))
-            keys = keys[total >= min_count]
-            contexts.append(keys[np.isin(keys % size ** (k - 1), contexts[k - 1])] if k > 1 else keys)
+        contexts = self._stored(counts, size, order, min_count)
+        while len(contexts) > 1 and sum(map(len, contexts)) * size * len(counts) * 4 > TABLE_BYTES and any(map(len, contexts[1:])):
+            min_count *= 2
+            contexts = self._stored(counts, size, order, min_count)
         index, starts = suffix_index(contexts, size, order)
         bits = np.zeros((starts[-1] + len(contexts[-1]), size, len(self.languages)), np.float32)
         for j, g in enumerate(counts):
             lower = None
             for k in range(order + 1):
+                if not len(contexts[k]):
+                    break  # nor are there longer ones
                 seen_here = np.zeros((len(contexts[k]), size))
                 keys, c = g[k]
                 at = np.searchsorted(contexts[k], keys // size)
@@ -91,6 +94,17 @@ class PPM:
                 lower = p
         self.tables = Tables(symbols, size, order, index, bits.reshape(-1, len(self.languages)))
 
+    @staticmethod
+    def _stored(counts: list, size: int, order: int, min_count: int) -> list[np.ndarray]:
+        """The contexts of each length that are seen often enough, and whose suffix is."""
+        contexts = [np.zeros(1, np.int64)]
+        for k in range(1, order + 1):
+            keys, c = np.unique(np.concatenate([g[k - 1][0] for g in counts]), return_inverse=True)
+            total = np.bincount(c, weights=np.concatenate([g[k - 1][1] for g in counts]))
+            keys = keys[total >= min_count]
+            contexts.append(keys[np.isin(keys % size ** (k - 1), contexts[k - 1])] if k > 1 else keys)
+        return contexts
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         return self.tables.score(texts)
 

@@ -732,6 +732,15 @@ def test_ppm_code_lengths():
         assert abs(ppm.code_lengths([text])[0, j] - want) < 0.02 * want
 
 
+def test_ppm_tables_are_bounded(monkeypatch, docs):
+    samples = {x: [t.encode() for _, t, lang in docs if lang == x and t][:30] for x in ("en", "fr")}
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 200_000)
+    small = language_id.PPM(samples)
+    assert 0 < small.tables.values.nbytes <= 200_000
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 1)
+    assert language_id.PPM(samples).code_lengths([b"one of the"]).shape == (1, 2)
+
+
 def test_language_id(spark, sf, docs, odd):
     got = {r.doc_id: r for r in queries.op10_language_id(spark, "/root/testdata/sf0.01").collect()}
     langs = dict(duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").fetchall())
