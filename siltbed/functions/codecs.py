@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import lzma
 import os
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.functions import batches
 from siltbed.functions.hashing import UnsupportedAlgorithm, chunk_id, mac
 from siltbed.functions.keys import Key
 
@@ -21,7 +21,10 @@ COMPRESSIONS, ENCRYPTIONS = ("none", "zstd", "lz4", "xz"), ("none", "aes256ctr",
 IV_SIZE = {"none": 0, "aes256ctr": 16, "chacha20": 12}
 KEY_SIZE = {"none": 16, "aes256ctr": 32, "chacha20": 32}
 #: Bytes of key stream made together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
+#: The end of the initialisation vectors that `pack` makes: GCM numbers the blocks of a 12-byte nonce from 2, so the JVM's GCM
+#: gives the bytes of CTR.
+FIRST_BLOCK = b"\0\0\0\2"
 
 
 class IntegrityError(Exception):
@@ -65,15 +68,18 @@ def chacha20_streams(key: bytes, ivs: Sequence[bytes], sizes: Sequence[int], cou
     state[4:12] = np.frombuffer(key, "<u4")[:, None]
     state[12] = counter + np.arange(len(owner)) - first[owner]
     state[13:] = np.frombuffer(b"".join(ivs), "<u4").reshape(-1, 3)[owner].T
-    x = state.copy()
+    x, spare = state.copy(), np.empty(len(owner), np.uint32)
 
-    def turn(v: np.ndarray, n: int) -> np.ndarray:
-        return (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+    def turn(v: np.ndarray, n: int) -> None:
+        np.left_shift(v, np.uint32(n), out=spare)
+        np.right_shift(v, np.uint32(32 - n), out=v)
+        np.bitwise_or(v, spare, out=v)
 
     def quarter(a: int, b: int, c: int, d: int) -> None:
         for i, j, k, r in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
             x[i] += x[j]
-            x[k] = turn(x[k] ^ x[i], r)
+            x[k] ^= x[i]
+            turn(x[k], r)
 
     for _ in range(10):
         for s in range(4):
@@ -117,49 +123,57 @@ def xor(a: bytes, b: bytes) -> bytes:
     return (np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)[: len(a)]).tobytes()
 
 
-def _each(f: Callable[[list[bytes], list[bytes]], list[bytes]], value: Column, other: Column) -> Column:
-    """f over the values of a batch that are not null, with those of another column; null for null."""
+def _each(f: Callable[[list[bytes], list[bytes]], Iterable[bytes]], value: Column, other: Column) -> Column:
+    """f over the values that are not null, with those of another column, a piece of a batch at a time; null for null."""
 
-    @F.pandas_udf("binary")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for v, o in parts:
-            known = v.notna()
-            got = f([bytes(x) for x in v[known]], [bytes(x) for x in o[known]])
-            yield pd.Series(got, v.index[known], object).reindex(v.index).where(known, None)
+            yield from batches.each(f, v, o)
 
     return run(value, other)
 
 
 def compressed(value: Column, kind: str, level: int = 1) -> Column:
-    return value if kind == "none" else _each(lambda xs, _: [compress(x, kind, level) for x in xs], value, F.lit(b""))
+    return value if kind == "none" else _each(lambda xs, _: (compress(x, kind, level) for x in xs), value, F.lit(b""))
 
 
 def decompressed(value: Column, kind: str) -> Column:
-    return value if kind == "none" else _each(lambda xs, _: [decompress(x, kind) for x in xs], value, F.lit(b""))
+    return value if kind == "none" else _each(lambda xs, _: (decompress(x, kind) for x in xs), value, F.lit(b""))
+
+
+def ivs(kind: str, n: int) -> list[bytes]:
+    """n random initialisation vectors."""
+    if kind == "aes256ctr":
+        return [os.urandom(12) + FIRST_BLOCK for _ in range(n)]
+    return [os.urandom(IV_SIZE[kind]) for _ in range(n)]
 
 
 def fresh_iv(kind: str) -> Column:
     """A random initialisation vector a row. Not deterministic: write the rows before using them twice."""
-    size = IV_SIZE[kind]
 
-    @F.pandas_udf("binary")
-    def run(ids: pd.Series) -> pd.Series:
-        return pd.Series([os.urandom(size) for _ in ids], dtype=object)
+    @F.arrow_udf("binary")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array(ivs(kind, len(rows)), pa.binary())
 
-    return run.asNondeterministic()(F.lit(0)) if size else F.lit(b"")
+    return run.asNondeterministic()(F.lit(0)) if IV_SIZE[kind] else F.lit(b"")
 
 
 def ciphered(value: Column, kind: str, key: bytes, iv: Column, then: Callable[[bytes], bytes] | None = None) -> Column:
-    """Encrypts or decrypts (both ciphers XOR a key stream). AES counter blocks are encrypted by the JVM's AES. `then` is
-    applied to each result in the same Python stage."""
-    finish = (lambda xs: [then(x) for x in xs]) if then else (lambda xs: xs)
+    """Encrypts or decrypts (both ciphers XOR a key stream). AES is the JVM's: no byte goes through Python where the vector
+    ends as those of `pack` do; elsewhere the stream is made from counter blocks and XORed in Python. `then` is applied to
+    each result in the same Python stage, of which there is one at most."""
+    finish = (lambda xs: map(then, xs)) if then else (lambda xs: xs)
     if kind == "none":
         return _each(lambda xs, _: finish(xs), value, F.lit(b"")) if then else value
     key = cipher_key(kind, key)
     if kind == "chacha20":
         return _each(lambda xs, ns: finish(chacha20(key, xs, ns)), value, iv)
-    stream = _stream(_each(lambda xs, ns: [counter_blocks(n, len(x)) for x, n in zip(xs, ns, strict=True)], value, iv), key)
-    return _each(lambda xs, ss: finish(list(map(xor, xs, ss))), value, stream)
+    ours = F.substring(iv, 13, 4) == F.lit(FIRST_BLOCK)
+    native, stream = F.when(ours, _gcm(value, key, iv)), F.when(~ours, _stream(_counters(iv, F.octet_length(value)), key))
+    if then is None:
+        return F.coalesce(native, _each(lambda xs, ss: map(xor, xs, ss), F.when(~ours, value), stream))
+    return _each(lambda xs, ss: finish(xor(x, s) if s else x for x, s in zip(xs, ss, strict=True)), F.coalesce(native, value), F.coalesce(stream, F.lit(b"")))
 
 
 def cipher_key(kind: str, key: bytes) -> bytes:
@@ -172,30 +186,51 @@ def _stream(blocks: Column, key: bytes) -> Column:
     return F.aes_encrypt(blocks, F.lit(key), F.lit("ECB"), F.lit("PKCS"))
 
 
+def _gcm(value: Column, key: bytes, iv: Column) -> Column:
+    """AES-CTR of values whose vector ends in FIRST_BLOCK: what GCM gives between its nonce and its tag."""
+    sealed = F.aes_encrypt(value, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.substring(iv, 1, 12))
+    return F.substr(sealed, F.lit(13), F.octet_length(value))
+
+
+def _counters(iv: Column, size: Column) -> Column:
+    """`counter_blocks` in built-in expressions: at least as many as cover size bytes, from four words with carries."""
+    words = [F.conv(F.hex(F.substring(iv, 4 * k + 1, 4)), 16, 10).cast("long") for k in range(4)]
+
+    def block(i: Column) -> Column:
+        out, carry = [], i
+        for w in reversed(words):
+            total = w + carry
+            out.append(F.lpad(F.hex(total.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+            carry = F.shiftright(total, 32)
+        return F.concat(*reversed(out))
+
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(size / 16)), block), ""))
+
+
 def _sealed(rows: DataFrame, compression: str, level: int, encryption: str, key: bytes) -> DataFrame:
-    """(chunk_id, body) to (chunk_id, data, iv): compressed and encrypted. One Python stage, and one more to apply the
-    JVM's AES."""
-    key, size = cipher_key(encryption, key), IV_SIZE[encryption]
+    """(chunk_id, body) to (chunk_id, data, iv): compressed and encrypted. One Python stage at most, and none for bytes that are
+    only encrypted by the JVM's AES."""
+    key, value, kind = cipher_key(encryption, key), F.col("body"), compression
     if encryption == "none":
-        return rows.select("chunk_id", compressed(F.col("body"), compression, level).alias("data"), F.lit(b"").alias("iv"))
+        return rows.select("chunk_id", compressed(value, kind, level).alias("data"), F.lit(b"").alias("iv"))
+    if encryption == "aes256ctr" and kind == "none":
+        rows = rows.select("chunk_id", value.alias("data"), fresh_iv(encryption).alias("iv"))
+        return rows.select("chunk_id", _gcm(F.col("data"), key, F.col("iv")).alias("data"), "iv")
 
-    @F.pandas_udf("data binary, iv binary, blocks binary")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def sealed(xs: list[bytes], ns: list[bytes]) -> Iterable[bytes]:
+        out = (compress(x, kind, level) for x in xs)
+        return chacha20(key, list(out), ns) if encryption == "chacha20" else out
+
+    @F.arrow_udf("data binary, iv binary")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for v in parts:
-            known = v.notna()
-            xs = [compress(bytes(x), compression, level) for x in v[known]]
-            random = os.urandom(size * len(v))
-            ivs = pd.Series([random[i : i + size] for i in range(0, len(random), size)], v.index, object)
-            ns = list(ivs[known])
-            if encryption == "chacha20":
-                xs, blocks = chacha20(key, xs, ns), [b""] * len(xs)
-            else:
-                blocks = [counter_blocks(n, len(x)) for x, n in zip(xs, ns, strict=True)]
-            column = lambda x: pd.Series(x, v.index[known], object).reindex(v.index).where(known, None)  # noqa: B023, E731
-            yield pd.DataFrame({"data": column(xs), "iv": ivs, "blocks": column(blocks)})
-
-    rows = rows.select("chunk_id", run.asNondeterministic()("body").alias("p"))
-    data = F.col("p.data") if encryption == "chacha20" else _each(lambda xs, ss: list(map(xor, xs, ss)), F.col("p.data"), _stream(F.col("p.blocks"), key))
+            fresh, at = pa.array(ivs(encryption, len(v)), pa.binary()), 0
+            for data in batches.each(sealed, v, fresh):
+                yield pa.StructArray.from_arrays([data, fresh.slice(at, len(data))], ["data", "iv"])
+                at += len(data)
+
+    rows = rows.select("chunk_id", run.asNondeterministic()(value).alias("p"))
+    data = F.col("p.data") if encryption == "chacha20" else _gcm(F.col("p.data"), key, F.col("p.iv"))
     return rows.select("chunk_id", data.alias("data"), F.col("p.iv").alias("iv"))
 
 

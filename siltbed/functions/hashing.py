@@ -11,11 +11,11 @@ import hmac
 import os
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltbed.functions import blake
+from siltbed.functions import batches, blake
 
 ID_SIZE = 32
 MANIFEST_ID = bytes(ID_SIZE)
@@ -55,12 +55,11 @@ def mac(value: Column, key: bytes, algorithm: str = "sha256") -> Column:
         return F.unhex(hmac_sha256(value, key))
     mac_function(algorithm, key)  # fails early
 
-    @F.pandas_udf("binary")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = mac_function(algorithm, key)
-        for s in parts:
-            found = s.notna()
-            yield pd.Series(f([bytes(x) for x in s[found]]), s.index[found], object).reindex(s.index).where(found, None)
+        for values in parts:
+            yield from batches.each(f, values)
 
     return run(value)
 

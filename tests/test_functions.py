@@ -1,10 +1,11 @@
 import hashlib
 import hmac
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.functions import blake, codecs, hashing, paths
+from siltbed.functions import batches, blake, codecs, hashing, paths
 from siltbed.functions.keys import Key, KeyError_
 
 KEY = Key(bytes(range(32)), bytes(range(32, 64)), bytes(range(64, 96)), 7)
@@ -167,3 +168,48 @@ def test_key_streams_together():
 def test_counter_blocks_carry(start):
     want = b"".join(((start + i) % 2**128).to_bytes(16, "big") for i in range(3))
     assert codecs.counter_blocks(start.to_bytes(16, "big"), 40) == want and codecs.counter_blocks(start.to_bytes(16, "big"), 0) == b""
+
+
+def python_stages(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ")
+
+
+def test_values_are_worked_on_in_pieces():
+    """A worker makes lists, results and output for a megabyte of a batch at a time, or for one longer value."""
+    seen, values = [], [b"x" * 300_000, None, b"", b"y" * 3_000_000, *[b"z" * 1000] * 3000]
+    grown = lambda xs: (seen.append(sum(map(len, xs))), [x * 2 for x in xs])[1]
+    out = list(batches.each(grown, pa.array(values, pa.binary())))
+    assert [x for part in out for x in part.to_pylist()] == [None if v is None else v * 2 for v in values]
+    assert len(seen) > 4 and sorted(seen)[-2:] <= [batches.PIECE, 3_000_000]
+    assert sorted(part.nbytes for part in out)[-2] < 2 * batches.PIECE
+    assert list(batches.each(grown, pa.array([], pa.binary()))) == []
+
+
+def test_aes_needs_one_python_stage(spark, tmp_path):
+    """AES is the JVM's: of packing and unpacking, only compression is Python's, and nothing where there is none."""
+    rows = spark.createDataFrame([(b"id", TEXT)], "chunk_id binary, body binary")
+    assert python_stages(codecs.pack(rows, KEY)) == 1
+    codecs.pack(rows, KEY).write.parquet(str(tmp_path / "p"))
+    packed = spark.read.parquet(str(tmp_path / "p"))
+    assert python_stages(codecs.unpack(packed, KEY, [("zstd", "aes256ctr", "sha256")])) == 1
+    iv = bytes(packed.first().iv)
+    raw = codecs.compress(TEXT, "zstd")
+    stream = bytes(one(spark, codecs.counter_blocks(iv, len(raw)), codecs._stream(F.col("v"), KEY.key)))
+    assert len(iv) == 16 and bytes(packed.first().data) == codecs.xor(raw, stream)
+
+
+@pytest.mark.parametrize("compression", ["none", "zstd"])
+def test_unpacks_aes_of_any_vector(spark, compression):
+    """Rows packed with vectors of sixteen random bytes are read as well, among new ones, whatever carries there are."""
+    old = []
+    for start in (0, 5, 2**32 - 1, 2**64 - 2, 2**96 - 1, 2**127 + 2**64 - 1, 2**128 - 1):
+        for body in (b"", TEXT, bytes([start % 251]) * 33):
+            iv, raw = start.to_bytes(16, "big"), codecs.compress(body, compression)
+            stream = bytes(one(spark, codecs.counter_blocks(iv, len(raw)), codecs._stream(F.col("v"), KEY.key)))
+            data = codecs.xor(raw, stream) if raw else b""
+            old.append((str(len(old)).encode(), compression, 1, "aes256ctr", iv, "sha256", hmac.digest(KEY.hmac_key, data, "sha256"), data, body))
+    schema = "chunk_id binary, compression string, level int, encryption string, iv binary, hmac string, mac binary, data binary, was binary"
+    before = spark.createDataFrame(old, schema)
+    new = codecs.pack(before.select("chunk_id", F.col("was").alias("body")), KEY, compression)
+    got = codecs.unpack(before.drop("was").unionByName(new), KEY).select("chunk_id", "body").collect()
+    assert sorted((bytes(r.chunk_id), bytes(r.body)) for r in got) == sorted([(r[0], r[-1]) for r in old] * 2)
