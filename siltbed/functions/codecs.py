@@ -208,9 +208,10 @@ def _counters(iv: Column, size: Column) -> Column:
 
 
 def _sealed(rows: DataFrame, compression: str, level: int, encryption: str, key: bytes) -> DataFrame:
-    """(chunk_id, body) to (chunk_id, data, iv): compressed and encrypted. One Python stage at most, and none for bytes that are
-    only encrypted by the JVM's AES."""
-    key, value, kind = cipher_key(encryption, key), F.col("body"), compression
+    """(chunk_id, body) or (chunk_id, pressed) to (chunk_id, data, iv): compressed, unless it is, and encrypted. One Python
+    stage at most, and none for bytes that are only encrypted by the JVM's AES."""
+    key, raw = cipher_key(encryption, key), "pressed" not in rows.columns
+    value, kind = (F.col("body"), compression) if raw else (F.col("pressed"), "none")
     if encryption == "none":
         return rows.select("chunk_id", compressed(value, kind, level).alias("data"), F.lit(b"").alias("iv"))
     if encryption == "aes256ctr" and kind == "none":
@@ -234,13 +235,28 @@ def _sealed(rows: DataFrame, compression: str, level: int, encryption: str, key:
     return rows.select("chunk_id", data.alias("data"), F.col("p.iv").alias("iv"))
 
 
+def _known(slices: DataFrame, key: Key, algorithm: str) -> DataFrame:
+    """slices with their chunk_id: their own, or that of the plain body."""
+    return slices if "chunk_id" in slices.columns else slices.withColumn("chunk_id", chunk_id(mac(F.col("body"), key.id_key, algorithm)))
+
+
+def pressed(slices: DataFrame, key: Key, compression: str, level: int = 1, algorithm: str = "sha256") -> DataFrame:
+    """(chunk_id, pressed) for `pack`, where one compression is packed with several encryptions: the rows are dealt anew, and
+    Spark computes and keeps what it deals once, however many packs read it. Without compression the slices are as they were."""
+    if compression == "none":
+        return slices
+    rows = _known(slices, key, algorithm).select("chunk_id", compressed(F.col("body"), compression, level).alias("pressed"))
+    return rows.repartition("chunk_id", "pressed")
+
+
 def pack(slices: DataFrame, key: Key, compression: str = "zstd", level: int = 1, encryption: str = "aes256ctr", algorithm: str = "sha256") -> DataFrame:
     """(chunk_id, body, ...) to packed rows (chunk_id, compression, level, encryption, iv, hmac, mac, data).
 
-    A chunk_id column is kept; without one it is computed from the plain body. Null bodies give null data.
+    A chunk_id column is kept; without one it is computed from the plain body. Null bodies give null data. Rows of `pressed`,
+    made with the same compression and level, are not compressed again.
     """
-    rows = slices if "chunk_id" in slices.columns else slices.withColumn("chunk_id", chunk_id(mac(F.col("body"), key.id_key, algorithm)))
-    rows = _sealed(rows.select("chunk_id", "body"), compression, level, encryption, key.key)
+    rows = _known(slices, key, algorithm)
+    rows = _sealed(rows.select("chunk_id", "pressed" if "pressed" in rows.columns else "body"), compression, level, encryption, key.key)
     return rows.select(
         "chunk_id", F.lit(compression).alias("compression"), F.lit(level).alias("level"), F.lit(encryption).alias("encryption"), "iv",
         F.lit(algorithm).alias("hmac"), mac(F.col("data"), key.hmac_key, algorithm).alias("mac"), "data",

@@ -51,3 +51,12 @@ def test_every_setting_packs_every_object(spark, sf, tmp_path, monkeypatch):
     assert sorted(packed) == sorted((c, e, len(data)) for c in ("none", "zstd", "lz4", "xz") for e in ("none", "aes256ctr", "chacha20"))
     want = duckdb.sql(catalogue.ORACLES["pack_unpack_roundtrip"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).df()
     assert rows(got) == rows(want) and len(got) == len(data)
+
+
+def test_each_compression_is_computed_once(spark, sf):
+    """Three encryptions of a compression read one exchange of what it gave: two reuse it, for zstd, lz4 and xz."""
+    got = catalogue.QUERIES["pack_unpack_roundtrip"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 6
